@@ -2,15 +2,17 @@
 
 Each document's distinct word shingles are hashed once. The top bits of a hash choose its bin, and a bin keeps its
 least hash; an empty bin takes the value of another, found by a fixed random walk over bins that is the
-same for all documents. Bands of bins are bucket keys. In each bucket every document is paired with one centre (the
-least id), so a bucket gives as many candidate pairs as members, not their square. Candidates are
-confirmed on full shingle sets, and confirmed pairs joined to components.
+same for all documents. Bands of bins are bucket keys. In each bucket every document is paired with one centre, so a
+bucket gives as many candidate pairs as members, not their square. The centre is the member that meets most others
+in all its buckets: of a document and its many altered copies that is the document, which is nearer to each copy than
+they are to each other. Candidates are confirmed on full shingle sets, and confirmed pairs joined to components.
 
 A star can miss a link between two members that are both unlike the centre. So buckets whose members
-lie in different components after the stars are looked at again: pairs across
-components, of sizes that allow the similarity and with half of their bins equal at least, are confirmed too. (At a
-similarity of 0.75, 96 of 128 bins are equal on average, with a deviation of 4.9; fewer than 64 are as good as
-impossible.) Pairs within a component are never made.
+lie in different components after the stars are looked at again: pairs across components are confirmed too, if
+their sizes allow the similarity and their parity sketches do. A parity sketch has a bit for each of 2048 classes
+of hashes, set if the set has an odd number of that class; two sketches differ in at most as many bits as the
+sets in elements. So the bound is exact: it drops only pairs that can't be similar. Such pairs are compared within the
+join and not made; pairs within a component are not even compared.
 
 With 32 bands of 4 bins a pair at 0.75 shares no bucket with probability 5e-6, at 0.8 with 4e-8.
 
@@ -33,6 +35,8 @@ from tributary.llm.components import components
 BINS, BAND = 128, 4
 #: Words whose hashes a worker remembers at most.
 REMEMBERED = 500_000
+#: Bits of a parity sketch, in words of 64.
+SKETCH = 2048
 #: Slots of a walk over bins; the walk of a bin repeats after them, and then the nearest full bin is taken.
 WALK = 4096
 
@@ -103,10 +107,16 @@ def signature(own: np.ndarray, walk: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set of hashes: SKETCH // 64 whole numbers."""
+    odd = np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, with_sets: bool) -> DataFrame:
-    """Rows (id, n, node, check, sig) of all docs, or (id, n, node, sh) with the hashes of their shingles.
+    """Rows (id, n, node, sig, odd) of all docs, or (id, n, node, sh) with the hashes of their shingles.
 
-    node and check are 128 bits of hash of the set; the first 64 name it.
+    node: a 64-bit hash of the set, which names it; sig: the bins; odd: the parity sketch.
     """
     import pyarrow as pa
     import xxhash
@@ -119,18 +129,17 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, with_sets:
         for rows in batches(columns_of(it, "id", "text"), lambda r: len(r[1] or b"") + 1000, 4 << 20):
             ids, sets = [r[0] for r in rows], [shingle_set(words_of(r[1], SPACE_WORDS), hashes, words) for r in rows]
             n = pa.array([len(s) for s in sets], pa.int64())
-            full = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            node = pa.array(np.array([x >> 64 for x in full], np.uint64).view(np.int64))
+            node = pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
             if with_sets:
                 flat = np.concatenate(sets).view(np.int64)
                 cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_kind(kind)), n, node, pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=["id", "n", "node", "sh"])
             else:
-                check = pa.array(np.array([x & (1 << 64) - 1 for x in full], np.uint64).view(np.int64))
                 sig = pa.array([signature(s, walk).tobytes() if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, id_kind(kind)), n, node, check, sig], names=["id", "n", "node", "check", "sig"])
+                odd = pa.array([parity(s).tobytes() if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_kind(kind)), n, node, sig, odd], names=["id", "n", "node", "sig", "odd"])
 
-    return slim.mapInArrow(run, f"id {kind}, n long, node long, sh array<long>" if with_sets else f"id {kind}, n long, node long, check long, sig binary")
+    return slim.mapInArrow(run, f"id {kind}, n long, node long, sh array<long>" if with_sets else f"id {kind}, n long, node long, sig binary, odd binary")
 
 
 def id_kind(kind: str):
@@ -163,25 +172,34 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, words: int = 5, id_col
     threshold: the least similarity, in hundredths. component_id: the least id of those that links reach.
     """
     own = settle(sketches(docs, words, id_col, text_col, False), "sketches")
-    nodes = settle(own.filter("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig")), "sets")
+    grouped = own.filter("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("odd").alias("odd"))
+    nodes = settle(grouped, "sets")
 
     members = buckets(nodes)
-    shared = settle(members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("m")).filter("m > 1").select("key", "centre"), "buckets")
+    shared = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     placed = settle(members.join(shared, "key"), "placed")
+    crowd = placed.groupBy("node").agg(F.sum("m").alias("met"))
+    crowded = placed.join(crowd, "node")
+    centres = crowded.groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("n2"))
     possible = F.least("n", "n2") * 100 >= threshold * F.greatest("n", "n2")
-    sizes = nodes.select(F.col("node").alias("centre"), F.col("n").alias("n2"))
-    stars = settle(placed.filter("node != centre").select("node", "n", "centre").distinct().join(sizes, "centre").filter(possible).select(F.col("centre").alias("a"), F.col("node").alias("b")), "stars")
+    stars = placed.join(centres, "key").filter(F.col("node") != F.col("centre")).filter(possible)
+    stars = settle(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "stars")
     links = settle(confirmed(stars, nodes, docs, threshold, words, id_col, text_col), "links")
     roots = settle(components(links), "roots")
 
     # What the stars leave: buckets with members of several components.
     rooted = placed.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
-    left = settle(rooted.join(several, "key", "left_semi").join(nodes.select("node", "sig"), "node"), "left")
-    one = left.select("key", F.col("node").alias("a"), "n", F.col("root").alias("ra"), F.col("sig").alias("sa"))
-    two = left.select(F.col("key").alias("key2"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("root").alias("rb"), F.col("sig").alias("sb"))
-    like = (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & possible & (equal_bins("sa", "sb") >= BINS // 2)
-    tried = settle(one.join(two, like).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "across")
+    left = rooted.join(several, "key", "left_semi").join(nodes.select("node", "odd"), "node")
+    left = settle(left.select("key", "node", "n", "root", *words_of_sketch("odd")), "left")
+    one = left.withColumnsRenamed({"node": "a", "root": "ra"})
+    two = left.toDF("key2", "b", "n2", "rb", *[f"{c}_2" for c in SKETCH_COLUMNS])
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in SKETCH_COLUMNS[1:]), F.bit_count(F.col(SKETCH_COLUMNS[0]).bitwiseXOR(F.col(f"{SKETCH_COLUMNS[0]}_2"))))
+    # Of sets with n and n2 elements that are similar enough, at most this share differs.
+    near = (100 + threshold) * apart <= (100 - threshold) * (F.col("n") + F.col("n2"))
+    met = one.join(two, (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & possible & near)
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = settle(met.join(stars, ["a", "b"], "left_anti"), "across")
     if tried.limit(1).count():
         more = settle(confirmed(tried, nodes, docs, threshold, words, id_col, text_col), "more_links")
         if more.limit(1).count():
@@ -195,7 +213,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, words: int = 5, id_col
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), whole.alias("component_id"), whole.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def equal_bins(a: str, b: str) -> Column:
-    """How many bins of two signatures are equal."""
-    cut = lambda c: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.substring(F.col(c), i * 4 + 1, F.lit(4)))
-    return F.size(F.filter(F.zip_with(cut(a), cut(b), lambda x, y: x == y), lambda same: same))
+SKETCH_COLUMNS = [f"w{i}" for i in range(SKETCH // 64)]
+
+
+def words_of_sketch(column: str) -> list[Column]:
+    """A sketch as whole numbers, so that comparing two is compiled code."""
+    half = lambda i: F.conv(F.hex(F.substring(F.col(column), 8 * i + 1, 8)), 16, -10).cast("long")
+    return [half(i).alias(c) for i, c in enumerate(SKETCH_COLUMNS)]
