@@ -49,15 +49,14 @@ def alive(spec: Spec, rows: dict[str, DataFrame], at: int) -> Spec:
     def stored(s: Stream) -> DataFrame:
         return rows[s.name].filter((F.col("line_no") < at) & (F.col("_dies").isNull() | (F.col("_dies") > at)))
 
-    streams = {n: replace(s, frame=stored(s)) for n, s in spec.streams.items()}
-    return Spec(streams, list(spec.edges), list(spec.filters), spec.window, spec.sampling)
+    return spec.over({n: stored(s) for n, s in spec.streams.items()})
 
 
 def n_seen(spec: Spec, at: int | None, use_keys: bool = True) -> int:
     """Live results when the latest time is `at`."""
     low, high = bounds(spec.window, at)
-    streams = spec.streams if low is None else {n: replace(s, frame=s.frame.filter(F.col(s.ts).between(low, high))) for n, s in spec.streams.items()}
-    flat = Spec(dict(streams), spec.edges, spec.filters, WindowSpec(), spec.sampling)
+    frames = {} if low is None else {n: s.frame.filter(F.col(s.ts).between(low, high)) for n, s in spec.streams.items()}
+    flat = spec.over(frames, WindowSpec())
     return int(total(flat, plan(flat, use_keys)).first()["n_seen"])
 
 

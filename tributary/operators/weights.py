@@ -76,21 +76,56 @@ def group_rows(spec: Spec, group: Group, wanted: dict[str, set[str]], trust_keys
             used.add(f"?{child}")
             if parent != group.root:
                 used.add(parent)
-    rows = stream_rows(spec, group.root, below[group.root] | wanted[group.root], group.root in rids)
+    order = spec.key_order
+    rows = stream_rows(spec, group.root, below[group.root] | wanted[group.root] | ({order} if order and group.folded else set()), group.root in rids)
     for child, parent, edge in group.folded:
         if child not in used and f"?{child}" not in used:
             continue
         keys = list(zip(edge.cols(parent), edge.cols(child)))
-        own = stream_rows(spec, child, below[child] | set(edge.cols(child)) if child in used else set(edge.cols(child)), child in rids)
+        columns = (below[child] if child in used else set()) | set(edge.cols(child)) | ({order} if order else set())
+        own = stream_rows(spec, child, columns, child in rids)
+        if spec.first_key_wins:
+            own = first_of_key(own, [cell(child, c) for _, c in keys], cell(child, order) if order else None)
         if windowed:
             own = own.withColumnRenamed(WINDOW, "_w2")
         on = reduce(Column.__and__, [rows[cell(parent, p)] == own[cell(child, c)] for p, c in keys])
         if windowed:
             on = on & (rows[WINDOW] == own["_w2"])
+        if order:  # looked up when the root's row arrives
+            on = on & (own[cell(child, order)] < rows[cell(group.root, order)])
         rows = rows.join(own, on, "inner" if child in used else "left_semi").drop("_w2")
     return rows
 
 
+def first_of_key(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row of each key: the first by order, or else the least; combined before it is shuffled."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    first = F.min(F.struct(*([order] if order else []), *[c for c in rest if c != order])).alias("_first")
+    return rows.groupBy(*keys).agg(first).select(*keys, *[F.col("_first").getField(c).alias(c) for c in rest])
+
+
+def key_problems(spec: Spec, most: int = 10) -> DataFrame:
+    """(problem, stream, key): of each foreign key, up to `most` keys that occur twice, and that references miss."""
+    out = None
+    for edge in spec.edges:
+        if not edge.foreign_key:
+            continue
+        parent, child = edge.foreign_key, edge.other(edge.foreign_key)
+        text = lambda s: F.concat_ws("|", *[F.col(cell(s, c)).cast("string") for c in edge.cols(s)]).alias("key")  # noqa: B023, E731
+        have = stream_rows(spec, child, set(edge.cols(child)), False).select(text(child)).groupBy("key").count()
+        twice = have.filter("count > 1").select(F.lit("duplicate").alias("problem"), F.lit(child).alias("stream"), "key").limit(most)
+        asked = stream_rows(spec, parent, set(edge.cols(parent)), False).select(text(parent)).distinct()
+        missed = asked.join(have, "key", "left_anti").select(F.lit("missing").alias("problem"), F.lit(parent).alias("stream"), "key").limit(most)
+        part = twice.unionByName(missed)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        spark = next(iter(spec.streams.values())).frame.sparkSession
+        out = spark.createDataFrame([], "problem string, stream string, key string")
+    return out
+
+
 def key_columns(node: Node, stream: str) -> list[str]:
     return [cell(stream, c) for c in node.edge.cols(stream)]
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +21,7 @@ def bounds(window: WindowSpec, at: int | None) -> tuple[int | None, int | None]:
 
 def with_frames(spec: Spec, change) -> Spec:
     """The same query over changed tables; change: from a Stream to a DataFrame."""
-    streams = {n: replace(s, frame=change(s)) for n, s in spec.streams.items()}
-    return Spec(streams, list(spec.edges), list(spec.filters), spec.window, spec.sampling)
+    return spec.over({n: change(s) for n, s in spec.streams.items()})
 
 
 def live(spec: Spec, at: int) -> Spec:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -97,3 +97,10 @@ class Spec:
     filters: list[Filter] = field(default_factory=list)
     window: WindowSpec = WindowSpec()
     sampling: SampleSpec | None = None
+    key_order: str | None = None
+    first_key_wins: bool = False
+
+    def over(self, frames: dict[str, DataFrame], window: WindowSpec | None = None) -> Spec:
+        """The same query over other tables, and with another window if one is given."""
+        streams = {n: replace(s, frame=frames.get(n, s.frame)) for n, s in self.streams.items()}
+        return replace(self, streams=streams, edges=list(self.edges), filters=list(self.filters), window=window or self.window)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.operators import deletes, enumerate as enumeration, sampling, tables, unrank, weights, windows
+from tributary.operators import deletes, enumerate as enumeration, maintain, sampling, tables, unrank, weights, windows
 from tributary.plans.planner import Node, check, plan
 from tributary.plans.spec import Edge, Filter, QueryError, SampleSpec, Spec, Stream, WindowSpec, names
 
@@ -87,6 +87,17 @@ class JoinQuery:
         self.spec.sampling = SampleSpec("swr", size, **options)
         return self
 
+    def set_key_semantics(self, order: str | None = None, first_wins: bool = False) -> JoinQuery:
+        """Depart from relational foreign keys. order: a whole-number column of all streams; a row then only finds
+        keys that arrived before it, and of rows with one key only the first counts, as first_wins alone also has it.
+        """
+        self.spec.key_order, self.spec.first_key_wins = order, first_wins or order is not None
+        return self
+
+    def key_problems(self, most: int = 10) -> DataFrame:
+        """(problem, stream, key): up to `most` keys each, by edge, that occur twice or that references miss."""
+        return weights.key_problems(self.spec, most)
+
     def set_report_event_handler(self, handler: Callable[[DataFrame], None]) -> JoinQuery:
         """Called with each report's one-row table instead of printing it."""
         self.report_handler = handler
@@ -182,6 +193,19 @@ class JoinQuery:
             numbers = sampling.numbers_frame(spark, sampling.draw_numbers(how, size))
         return unrank.unrank(q.spec, top, numbers)
 
+    def added(self, new: dict[str, DataFrame]) -> int:
+        """How many results rows to come would add, by stream; old results are not counted again."""
+        q = self.live()
+        return sum(n for _, n in maintain.added(q.spec, new, q.algorithm == "folded"))
+
+    def grown(self, new: dict[str, DataFrame]) -> JoinQuery:
+        """The query over its rows and further ones."""
+        return self._with(maintain.grown(self.spec, new))
+
+    def absorbed(self, sample: DataFrame, new: dict[str, DataFrame]) -> DataFrame:
+        """A sample of this query, made one of grown(new); only added results are drawn."""
+        return maintain.absorbed(self.spec, sample, new, self.algorithm == "folded")
+
     def repaired(self, sample: DataFrame) -> DataFrame:
         """A sample of an earlier state of the tables, made one of the present state."""
         return deletes.repaired(self.spec, sample, self.spec.sampling, self.algorithm == "folded")
