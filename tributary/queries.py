@@ -205,6 +205,21 @@ def report_rows(spark, d):
     return reports.report_rows(q.spec, inserts.unionByName(marks), frames, sids, lambda n: min(n, 100)).drop("win_lo", "win_hi")
 
 
+def added_count_qy(spark, d):
+    """What further lines and customers would add to the join, without counting old results again."""
+    q = qy(spark, d)
+    lines, customers = q.spec.streams["l"].frame, q.spec.streams["c2"].frame
+    old = q._with(q.spec.over({"l": lines.filter("l_linenumber <= 3"), "c2": customers.filter("c_custkey % 5 != 0")}))
+    n = old.added({"l": lines.filter("l_linenumber > 3"), "c2": customers.filter("c_custkey % 5 = 0")})
+    return spark.createDataFrame([(n,)], "n_added long")
+
+
+def key_problems_qx(spark, d):
+    """References into filtered tables that find nothing."""
+    q = qx(spark, d).add_equi_filter("p", "p_size", 12)
+    return q.key_problems(1 << 30).groupBy("problem", "stream").agg(F.count("*").alias("n_keys"))
+
+
 def resolve_samples(spark, d):
     q = qy(spark, d).set_sampling_without_replacement(100, deterministic=True)
     out = q.resolve(q.samples(), {"l": ["l_quantity"], "o": ["o_orderpriority"], "c1": ["c_name", "c_nationkey"], "c2": ["c_name", "c_nationkey"]})
@@ -224,7 +239,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         count_qx, count_qy, count_qz, count_linear_road, row_weights_qy, filter_equi, filter_neq, filter_band, band_join_2way, fk_fold_count,
         fk_untrusted_count, self_join_count, enumerate_qy_filtered, unrank_qy, bernoulli_qy, swor_qy, swr_qy, bottomk_swor_qx, tumbling_count,
-        tumbling_swor, sliding_live_count, sliding_swor, result_ts, fifo_delete_count, fifo_delete_swor, report_rows, resolve_samples, cumulative_n_proc,
+        tumbling_swor, sliding_live_count, sliding_swor, result_ts, fifo_delete_count, fifo_delete_swor, report_rows, added_count_qy,
+        key_problems_qx, resolve_samples, cumulative_n_proc,
     )
     return {f.__name__: f for f in found}
 
@@ -320,6 +336,9 @@ r AS (SELECT greatest(v.event_id, c.event_id) AS e FROM events v JOIN events c O
 SELECT epoch, CAST((SELECT count(*) FROM r WHERE e < upto AND e >= since) AS BIGINT) AS n_proc, CAST((SELECT count(*) FROM r WHERE e < upto) AS BIGINT) AS n_seen,
   CAST(least(100, (SELECT count(*) FROM r WHERE e < upto)) AS BIGINT) AS ssize,
   CAST((SELECT count(*) FROM events WHERE event_type IN ('view', 'click') AND event_id < upto AND event_id >= since) AS BIGINT) AS ntup FROM m""",
+        "added_count_qy": f"SELECT CAST(count(*) AS BIGINT) AS n_added FROM {QY_FROM} WHERE l.l_linenumber > 3 OR c2.c_custkey % 5 = 0",
+        "key_problems_qx": """SELECT 'missing' AS problem, 'la' AS stream, CAST(count(DISTINCT l_partkey) AS BIGINT) AS n_keys FROM lineitem
+WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size = 12) HAVING count(*) > 0""",
         "resolve_samples": f"""WITH a AS (
   SELECT l_quantity, o_orderpriority, c1.c_name AS n1, c2.c_name AS n2, c1.c_nationkey AS k1, c2.c_nationkey AS k2,
     row_number() OVER (ORDER BY {in_bucket(LINE_SQL.format('l'))}, {LINE_SQL.format('l')}, {in_bucket('CAST(c2.c_custkey AS VARCHAR)')}, CAST(c2.c_custkey AS VARCHAR)) - 1 AS j FROM {QY_FROM}),
