@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tributary.llm.common import SPACE_WORDS, batches, columns_of, settle, words_of
 from tributary.llm.near_dedup import id_kind, mixed
 
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 10 << 20
 #: Entries of a segment of word counts, and bigrams of a segment of the filter, about.
 SEGMENT_WORDS, SEGMENT_PAIRS = 500_000, 1_000_000
 HASHES, BITS_PER_ENTRY = 6, 9
@@ -127,7 +127,8 @@ def held_out(doc) -> bool:
 def text_batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (batch, ids, held, n, tokens, vocab, trained), of about BATCH_BYTES of text each.
 
-    tokens: numbers in vocab, which is sorted by hash; trained: each word's count in training documents.
+    tokens: numbers in vocab, packed; words are numbered as they come, so frequent ones have small numbers.
+    vocab: the words' hashes; trained: each word's count in training documents.
     """
     import pyarrow as pa
     import xxhash
@@ -143,15 +144,12 @@ def text_batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             held = np.array([held_out(i) for i, _ in rows], bool)
             n = np.array([len(p) for p in parts], np.int32)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
-            order = np.argsort(hashes, kind="stable")
-            new = np.empty(len(order), np.int32)
-            new[order] = np.arange(len(order), dtype=np.int32)
-            tokens = new[np.concatenate(parts)]
-            trained = np.bincount(tokens[~np.repeat(held, n)], minlength=len(order)).astype(np.uint32)
+            tokens = np.concatenate(parts)
+            trained = np.bincount(tokens[~np.repeat(held, n)], minlength=len(hashes)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.frombuffer(np.random.default_rng().bytes(8), np.int64)), pa.array([[i for i, _ in rows]], pa.list_(id_kind(kind))), pa.array([held.tolist()], pa.list_(pa.bool_())),
-                    pa.array([n.tolist()], pa.list_(pa.int32())), *[pa.array([x.tobytes()], pa.binary()) for x in (tokens, hashes[order], trained)],
+                    pa.array([n.tolist()], pa.list_(pa.int32())), *[pa.array([x], pa.binary()) for x in (pack_tokens(tokens), hashes.tobytes(), trained.tobytes())],
                 ],
                 names=["batch", "ids", "held", "n", "tokens", "vocab", "trained"],
             )
@@ -159,12 +157,25 @@ def text_batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(run, f"batch long, ids array<{kind}>, held array<boolean>, n array<int>, tokens binary, vocab binary, trained binary")
 
 
+def pack_tokens(tokens: np.ndarray) -> bytes:
+    """32-bit numbers, their bytes by significance, compressed."""
+    import zstandard
+
+    return zstandard.compress(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_tokens(data) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).reshape(-1).view("<u4").astype(np.int64)
+
+
 def numbers(batch, name: str, kind) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in batch.column(name)]
 
 
 def word_counts(held: DataFrame, bits: int) -> DataFrame:
-    """Rows (seg, batch, counts) with the corpus' counts of each batch's words in a segment, in their order; and a row
+    """Rows (seg, batch, counts) with the corpus' counts of each batch's words in a segment, by hash; and a row
     a segment without batch: distinct and total words, and how many words have each count.
     """
     import pyarrow as pa
@@ -172,6 +183,8 @@ def word_counts(held: DataFrame, bits: int) -> DataFrame:
     def split(it):
         for b in it:
             for batch, vocab, trained in zip(b.column("batch").to_pylist(), numbers(b, "vocab", np.uint64), numbers(b, "trained", np.uint32)):
+                order = np.argsort(vocab)
+                vocab, trained = vocab[order], trained[order]
                 own = cuts(segment_of(vocab, bits))
                 for k in range(0, len(own), 4096):
                     some = own[k : k + 4096]
@@ -210,7 +223,7 @@ def filter_segments(held: DataFrame, bits: int) -> DataFrame:
 
     def split(it):
         for b in it:
-            for flags, n, tokens, vocab in zip(b.column("held").to_pylist(), b.column("n").to_pylist(), numbers(b, "tokens", np.int32), numbers(b, "vocab", np.uint64)):
+            for flags, n, tokens, vocab in zip(b.column("held").to_pylist(), b.column("n").to_pylist(), map(unpack_tokens, (x.as_buffer() for x in b.column("tokens"))), numbers(b, "vocab", np.uint64)):
                 train = ~np.repeat(np.array(flags, bool), n)
                 pairs, counts = np.unique(pair_hashes(tokens, np.array(n), vocab)[train], return_counts=True)
                 own, code = cuts(segment_of(pairs, bits)), within(pairs, bits)
@@ -243,7 +256,7 @@ def sent_levels(held: DataFrame, segments: DataFrame, bits: int) -> DataFrame:
 
     def split(it):
         for b in it:
-            for batch, n, tokens, vocab in zip(b.column("batch").to_pylist(), b.column("n").to_pylist(), numbers(b, "tokens", np.int32), numbers(b, "vocab", np.uint64)):
+            for batch, n, tokens, vocab in zip(b.column("batch").to_pylist(), b.column("n").to_pylist(), map(unpack_tokens, (x.as_buffer() for x in b.column("tokens"))), numbers(b, "vocab", np.uint64)):
                 pairs = np.unique(pair_hashes(tokens, np.array(n), vocab))
                 code = within(pairs, bits)
                 own = cuts(segment_of(pairs, bits))
@@ -277,7 +290,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     held = settle(text_batches(docs, id_col, text_col), "lm_batches")
     trained = F.aggregate("held", F.lit(0).cast("long"), lambda a, h: a + F.when(h, 0).otherwise(1).cast("long"))
-    sizes = held.agg(F.sum(F.length("vocab") / 8).cast("long").alias("words"), F.sum(F.length("tokens") / 4).cast("long").alias("tokens"), F.sum(trained).alias("docs")).first()
+    sizes = held.agg(F.sum(F.length("vocab") / 8).cast("long").alias("words"), F.sum(trained).alias("docs")).first()
     counts = settle(word_counts(held, segment_bits(sizes["words"] or 0, SEGMENT_WORDS)), "lm_counts")
     # How many words have each count: as many rows as there are different counts, below the square root of twice the tokens.
     shape = counts.filter("batch IS NULL").select(F.explode(F.map_from_arrays("seen", "times")).alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect()
@@ -305,10 +318,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         told = sorted(told.select(["seg", "counts", "levels"]).to_pylist(), key=lambda r: r["seg"])
         count = np.frombuffer(b"".join(r["counts"] for r in told if r["counts"] is not None), np.int64).astype(np.float64)
         ids, flags, n = (batch.column(c)[0].as_py() for c in ("ids", "held", "n"))
-        (tokens,), (vocab,) = numbers(batch, "tokens", np.int32), numbers(batch, "vocab", np.uint64)
+        tokens, (vocab,) = unpack_tokens(batch.column("tokens")[0].as_buffer()), numbers(batch, "vocab", np.uint64)
+        by_word = np.empty(len(vocab))
+        by_word[np.argsort(vocab)] = count
         n = np.array(n, np.int64)
         first = np.cumsum(n) - n
-        word = count[tokens]
+        word = by_word[tokens]
         p0 = (word + 0.5) / (total + 0.5 * (distinct + 1))
         before = np.concatenate([[0.0], word[:-1]])
         before[first] = starts
