@@ -16,9 +16,9 @@ from tributary.llm.queries import CATEGORIES, tokenizer_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents with a toxic probability of one half or more go."""
+    """Operator 3: documents with a toxic probability at the chain's threshold or above go."""
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), CATEGORIES)
-    return toxicity.score(docs, chain, CATEGORIES).filter(F.col("p.toxic") < 0.5).select("row.*")
+    return toxicity.score(docs, chain, CATEGORIES).filter(F.col("p.toxic") < F.lit(chain.threshold)).select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), CATEGORIES)
     found = toxicity.score(docs, chain, CATEGORIES, keep=["doc_id"])
-    return found.select("row.doc_id", F.col("p.quality").alias("p_quality"), F.col("p.toxic").alias("p_toxic"), (F.col("p.toxic") >= 0.5).alias("toxic"))
+    return found.select("row.doc_id", F.col("p.quality").alias("p_quality"), F.col("p.toxic").alias("p_toxic"), (F.col("p.toxic") >= F.lit(chain.threshold)).alias("toxic"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,8 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def damaged(pages: DataFrame) -> DataFrame:
     """A replica with bad copies: some records altered, some lost, some added. The audit reads all of both."""
-    k = F.pmod(F.xxhash64(F.col("page_id").cast("string")), F.lit(97))
-    html = F.when(k == 3, F.concat(F.lit("\x00"), F.substr("html", F.lit(2)))).otherwise(F.col("html"))
+    k = mixing.hash60(F.col("page_id").cast("string")) % 97
+    html = F.when(k == 3, F.concat(F.lit("~"), F.substr("html", F.lit(2)))).otherwise(F.col("html"))
     extra = pages.filter(k == 7).select((-2 - F.col("page_id")).alias("page_id"), "url", "html")
     return pages.filter(F.coalesce(k != 5, F.lit(True))).select("page_id", "url", html.alias("html")).unionByName(extra)
 
@@ -159,6 +159,20 @@ m AS (
 SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.k = 1
 """
 
+RECORD_SQL = "E'WARC/1.1\\r\\nWARC-Type: resource\\r\\nWARC-Target-URI: ' || coalesce(url, '') || E'\\r\\nContent-Length: ' || strlen(coalesce({0}, '')) || E'\\r\\n\\r\\n' || coalesce({0}, '') || E'\\r\\n\\r\\n'"
+BAD_SQL = "CASE WHEN k = 3 THEN '~' || substr(html, 2) ELSE html END"
+
+OP8_SQL = f"""
+WITH p AS (SELECT *, CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 15) AS BIGINT) % 97 AS k FROM pages),
+a AS (SELECT page_id AS position, {RECORD_SQL.format('html')} AS r FROM p),
+b AS (
+  SELECT page_id AS position, {RECORD_SQL.format(BAD_SQL)} AS r FROM p WHERE k <> 5
+  UNION ALL SELECT -2 - page_id, {RECORD_SQL.format('html')} FROM p WHERE k = 7)
+SELECT 'pages' AS archive, position, CASE WHEN b.r IS NULL THEN 'missing' WHEN a.r IS NULL THEN 'extra' ELSE 'changed' END AS status,
+  CAST(strlen(a.r) AS BIGINT) AS length, sha256(a.r) AS digest, CAST(strlen(b.r) AS BIGINT) AS replica_length, sha256(b.r) AS replica_digest
+FROM a FULL JOIN b USING (position) WHERE a.r IS DISTINCT FROM b.r
+"""
+
 OP10_SQL = f"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UP}', '{LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
@@ -181,4 +195,4 @@ FROM d LEFT JOIN word USING (doc_id) LEFT JOIN own USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_mixing": OP5_SQL, "op7_url_rules": OP7_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_top_k": OP2_SQL, "op4_near_duplicates": OP4_SQL, "op5_mixing": OP5_SQL, "op7_url_rules": OP7_SQL, "op8_warc_fixity": OP8_SQL, "op10_decontamination": OP10_SQL}
