@@ -56,11 +56,13 @@ def edge_columns(top: Node, spec: Spec) -> dict[str, set[str]]:
     return out
 
 
-def group_rows(spec: Spec, group: Group, wanted: dict[str, set[str]], trust_keys: bool = False, rids: set[str] = frozenset()) -> DataFrame:
+def group_rows(spec: Spec, group: Group, wanted: dict[str, set[str]], trust_keys: bool = False, rids: set[str] = frozenset(), counted: bool = False) -> DataFrame:
     """A group as one table: its root's rows with what its keys lead to.
 
     A folded stream that gives no column is a semi-join; with trust_keys it is left out, unless it has a filter
-    or bears a window, since each reference then has exactly one target.
+    or bears a window, since each reference then has exactly one target. counted: rows only matter by their number, _n.
+    Then, wherever the next join needs a single column, equal rows are added up before it; the join finds them
+    distributed by that column already, and what it passes on has at most a row a key.
     """
     below: dict[str, set[str]] = {m: set(wanted[m]) for m in group.members}
     for child, parent, edge in group.folded:
@@ -78,9 +80,11 @@ def group_rows(spec: Spec, group: Group, wanted: dict[str, set[str]], trust_keys
                 used.add(parent)
     order = spec.key_order
     rows = stream_rows(spec, group.root, below[group.root] | wanted[group.root] | ({order} if order and group.folded else set()), group.root in rids)
-    for child, parent, edge in group.folded:
-        if child not in used and f"?{child}" not in used:
-            continue
+    steps = [f for f in group.folded if f[0] in used or f"?{f[0]}" in used]
+    joined = {group.root}
+    if counted:
+        rows = rows.withColumn("_n", F.lit(1).cast("long"))
+    for i, (child, parent, edge) in enumerate(steps):
         keys = list(zip(edge.cols(parent), edge.cols(child)))
         columns = (below[child] if child in used else set()) | set(edge.cols(child)) | ({order} if order else set())
         own = stream_rows(spec, child, columns, child in rids)
@@ -88,12 +92,18 @@ def group_rows(spec: Spec, group: Group, wanted: dict[str, set[str]], trust_keys
             own = first_of_key(own, [cell(child, c) for _, c in keys], cell(child, order) if order else None)
         if windowed:
             own = own.withColumnRenamed(WINDOW, "_w2")
+        if counted and not windowed and not order:
+            still = {cell(m, c) for m in joined for c in wanted[m]} | {cell(p, c) for _, p, e in steps[i:] if p in joined for c in e.cols(p)}
+            if len(still) == 1:
+                rows = rows.groupBy(*still).agg(F.sum("_n").alias("_n"))
         on = reduce(Column.__and__, [rows[cell(parent, p)] == own[cell(child, c)] for p, c in keys])
         if windowed:
             on = on & (rows[WINDOW] == own["_w2"])
         if order:  # looked up when the root's row arrives
             on = on & (own[cell(child, order)] < rows[cell(group.root, order)])
         rows = rows.join(own, on, "inner" if child in used else "left_semi").drop("_w2")
+        if child in used:
+            joined.add(child)
     return rows
 
 
@@ -156,7 +166,7 @@ def weigh(spec: Spec, node: Node, wanted: dict[str, set[str]], trust_keys: bool)
     if node.edge:
         keys += key_columns(node, node.stream)
     keys = list(dict.fromkeys(keys)) + windowed
-    rows = group_rows(spec, node.group, wanted, trust_keys).groupBy(*keys).agg(F.count("*").cast(WEIGHT).alias("_w"))
+    rows = group_rows(spec, node.group, wanted, trust_keys, counted=True).groupBy(*keys).agg(F.sum("_n").cast(WEIGHT).alias("_w"))
     for i, child in enumerate(node.children):
         told = message(spec, child, weigh(spec, child, wanted, trust_keys), windowed)
         rows = take_message(child, rows, told, windowed, f"_m{i}")
