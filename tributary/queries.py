@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tributary.operators import reports, sampling
 from tributary.operators.tables import BUCKETS
-from tributary.operators.windows import latest
 from tributary.query import JoinQuery
 
 SEED = 19950810
