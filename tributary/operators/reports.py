@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators import enumerate as enumeration
 from tributary.operators.filters import filtered
-from tributary.operators.tables import arrival, running
+from tributary.operators.tables import arrival, keep, running
 from tributary.operators.weights import total
 from tributary.operators.windows import bounds
 from tributary.plans.planner import plan
@@ -60,7 +60,17 @@ def n_seen(spec: Spec, at: int | None, use_keys: bool = True) -> int:
     return int(total(flat, plan(flat, use_keys)).first()["n_seen"])
 
 
-def produced(spec: Spec, rows: dict[str, DataFrame], use_keys: bool = True, deletes: bool = False) -> DataFrame:
+def made_by(spec: Spec, at: int, use_keys: bool = True) -> int | None:
+    """How many results a log without deletes had completed by a line, by weights; None under a sliding window, where
+    times tie all members of a result to each other. spec: over tables with line_no.
+    """
+    if spec.window.kind == "sliding":
+        return None
+    before = spec.over({n: s.frame.filter(F.col("line_no") < at) for n, s in spec.streams.items()})
+    return int(total(before, plan(before, use_keys)).agg(F.sum("n_seen")).first()[0] or 0)
+
+
+def produced(spec: Spec, rows: dict[str, DataFrame]) -> DataFrame:
     """(line_no, n): results by the line that completed them. A result counts if its members were stored together.
 
     A delete, or a sliding window, ties all members of a result to each other, which only made results tell.
@@ -82,16 +92,22 @@ def report_rows(spec: Spec, log: DataFrame, rows: dict[str, DataFrame], sids: di
     spark = log.sparkSession
     own = {n: filtered(rows[n], [f for f in spec.filters if f.stream == n]) for n in spec.streams}
     deletes = log.filter("kind = 'delete'")
-    lived = {n: lifetimes(own[n], deletes.filter(F.col("sid") == sid).select("line_no", "n")) for sid, n in sids.items()}
-    made = produced(spec, lived, use_keys)
+    by_weights = spec.window.kind != "sliding" and not deletes.limit(1).count()
+    if by_weights:
+        lived, made = {n: df.withColumn("_dies", F.lit(None).cast("long")) for n, df in own.items()}, None
+    else:
+        lived = {n: keep(lifetimes(own[n], deletes.filter(F.col("sid") == sid).select("line_no", "n")), "lifetimes") for sid, n in sids.items()}
+        made = keep(produced(spec, lived), "produced")
+    whole = spec.over(lived)
     marks = [r["line_no"] for r in log.filter("kind = 'report'").select("line_no").orderBy("line_no").collect()]  # a row a report
-    out, last = [], -1
+    out, last, done = [], -1, 0
     for epoch, at in enumerate(marks):
         now = alive(spec, lived, at)
         tops = [now_s.frame.agg(F.max(now_s.ts)).first()[0] for now_s in now.streams.values() if now_s.ts]
         top = max((t for t in tops if t is not None), default=None)
         live = n_seen(now, top, use_keys)
-        new = made.filter((F.col("line_no") > last) & (F.col("line_no") < at)).agg(F.sum("n")).first()[0] or 0
+        so_far = made_by(whole, at, use_keys) if by_weights else made.filter(F.col("line_no") < at).agg(F.sum("n")).first()[0] or 0
+        new, done = so_far - done, so_far
         between = (F.col("line_no") > last) & (F.col("line_no") < at)
         tuples = sum(df.filter(between).count() for df in own.values()) + (deletes.filter(between).agg(F.sum("n")).first()[0] or 0)
         low, high = bounds(spec.window, top)

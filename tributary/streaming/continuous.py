@@ -65,7 +65,8 @@ class ContinuousQuery:
         rows = self.tables(log)
         deletes = log.filter("kind = 'delete'")
         own = {n: reports.filtered(rows[n], [f for f in spec.filters if f.stream == n]) for n in spec.streams}
-        if deletes.limit(1).count():
+        by_weights = spec.window.kind != "sliding" and not deletes.limit(1).count()
+        if not by_weights:
             lived = {n: reports.lifetimes(own[n], deletes.filter(F.col("sid") == sid).select("line_no", "n")) for sid, n in self.sids.items()}
         else:
             lived = {n: df.withColumn("_dies", F.lit(None).cast("long")) for n, df in own.items()}
@@ -73,7 +74,11 @@ class ContinuousQuery:
         tops = [s.frame.agg(F.max(s.ts)).first()[0] for s in now.streams.values() if s.ts]
         top = max((t for t in tops if t is not None), default=None)
         low, high = reports.bounds(spec.window, top)
-        made = reports.produced(spec, lived).filter(F.col("line_no") > self._last).agg(F.sum("n")).first()[0] or 0
+        # Without deletes weights tell what has been made; else only made results do, those of lines since the last report.
+        if by_weights:
+            made = reports.made_by(spec.over(lived), at) - reports.made_by(spec.over(lived), self._last)
+        else:
+            made = reports.produced(spec, lived).filter(F.col("line_no") > self._last).agg(F.sum("n")).first()[0] or 0
         between = F.col("line_no") > self._last
         tuples = sum(df.filter(between).count() for df in own.values()) + (deletes.filter(between).agg(F.sum("n")).first()[0] or 0)
         view = JoinQuery(self.query.algorithm)
