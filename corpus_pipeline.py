@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import decontaminate, mixing, near_dedup, packing, toxicity
-from tributary.llm.common import settle, table
+from tributary.llm.common import discard, id_filter, settle, split_by, table
 from tributary.llm.queries import CATEGORIES, tokenizer_path
 
 
@@ -24,7 +24,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: of each group of near duplicates the document of least id stays, one row of it."""
     found = settle(near_dedup.near_duplicates(docs), "near_duplicates")
-    out = docs.join(found.filter("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.filter("NOT kept").select("doc_id").distinct()
+    maybe, out = split_by(docs, "doc_id", settle(id_filter(gone, "doc_id"), "gone_bits"))  # few texts meet the ids by a shuffle
+    out = out.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
     again = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     again = settle(again, "repeated")
     if again.limit(1).count():  # rows that share an id: those with one text are copies
@@ -35,9 +37,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: passages of benchmark items are cut out of documents; the rest of a document stays."""
-    found = decontaminate.remove_hits(decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark")))
-    counted = F.when(F.col("hits.n_hit") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", counted).select(*docs.columns)
+    found = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"), cut=True)
+    clean, hit = decontaminate.cleaned(found), F.col("hits.n_hit") > 0
+    return clean.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"stage_{name}")
+        before, docs = docs, settle(stage(spark, docs, sf_dir), f"stage_{name}")
+        discard(before)  # the input table is none that settle() wrote
     return docs

@@ -72,7 +72,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
 
 
 def batches(rows: Iterator, size_of, limit: int) -> Iterator[list]:
@@ -94,3 +96,41 @@ def columns_of(it, *names: str) -> Iterator[tuple]:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that settle() wrote and that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_settled", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+FILTER_BITS = 1 << 24
+
+
+def id_filter(ids: DataFrame, column: str) -> DataFrame:
+    """A bit map of hashed ids, as (_word, _mask): at most FILTER_BITS / 64 = 262,144 rows, however many ids there are."""
+    hashed = ids.select(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).alias("h"))
+    return hashed.groupBy(F.shiftright("h", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 AS int)))").alias("_mask"))
+
+
+def split_by(docs: DataFrame, column: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs that may be among the ids of the bit map, docs that surely aren't), by a broadcast of bounded size.
+
+    So a join that concerns few rows shuffles few texts. The first part needs an exact join yet.
+    """
+    names = docs.columns
+    h = F.pmod(F.xxhash64(F.col(f"_row.{column}")), F.lit(FILTER_BITS))
+    held = docs.select(F.struct(*names).alias("_row")).withColumn("_h", h).withColumn("_word", F.shiftright("_h", 6))
+    met = held.join(F.broadcast(bits), "_word", "left").withColumn("_may", F.expr("coalesce(getbit(_mask, cast(_h & 63 AS int)), 0) = 1"))
+    return met.filter("_may").select("_row.*"), met.filter("NOT _may").select("_row.*")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark hand texts to Python at most so many at a time: some MB, instead of tens, a task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import settle
+from tributary.llm.common import discard, settle
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -24,9 +24,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = settle(large, "large_star")
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi")
-        now = settle(
+        old, now = now, settle(
             small.filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(down.select("hi", F.col("m").alias("lo"))).distinct(), "small_star"
         )
+        discard(old, large)
         was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if was == mark:
             break

@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.common import MARK_WORDS, words_of
+from tributary.llm.common import MARK_WORDS, small_batches, words_of
 
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 BLOCK_BYTES = 4 << 20
 SAMPLE = 8
-HITS = "n_words long, n_hit long, items array<string>, spans array<struct<first: int, past: int>>"
+HITS = "n_words long, n_hit long, items array<string>, spans array<struct<first: int, past: int>>, cut string"
 
 
 class Bits:
@@ -258,17 +258,19 @@ def item_blocks(items: DataFrame, window: int, block_bytes: int, id_col: str, te
 
 def find_hits(
     docs: DataFrame, items: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES,
-    text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", keep: Sequence[str] | None = None,
+    text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", keep: Sequence[str] | None = None, cut: bool = False,
 ) -> DataFrame:
     """Rows (row, hits): each row of docs, as a struct of the columns in keep (default: all), and a struct of
-    n_words, n_hit, items and merged word spans.
+    n_words, n_hit, items and merged word spans; with cut, also of the text without spans, where it has any.
     """
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
+
     blocks = item_blocks(items, window, block_bytes, item_id_col, item_text_col)
     wide = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col(text_col).cast("binary").alias("text"))
     kind = pa.struct([
-        ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())])))
+        ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))), ("cut", pa.string())
     ])
 
     def each_block():
@@ -279,8 +281,10 @@ def find_hits(
 
     def answer(held):
         whole = pa.Table.from_batches(held)
-        got = shard_hits(whole.column("text").to_pylist(), each_block())
-        hits = pa.array([{"n_words": a, "n_hit": b, "items": c, "spans": [{"first": x, "past": y} for x, y in d]} for a, b, c, d in got], kind)
+        texts = whole.column("text").to_pylist()
+        got = shard_hits(texts, each_block())
+        clean = [cut_text(t, d) if cut and d else None for t, (_, _, _, d) in zip(texts, got)]
+        hits = pa.array([{"n_words": a, "n_hit": b, "items": c, "spans": [{"first": x, "past": y} for x, y in d], "cut": t} for (a, b, c, d), t in zip(got, clean)], kind)
         rows, at = whole.select(["row"]).combine_chunks(), 0
         for part in rows.to_batches(max_chunksize=1024):
             yield pa.RecordBatch.from_arrays([part.column(0), hits.slice(at, part.num_rows)], names=["row", "hits"])
@@ -303,11 +307,9 @@ def find_hits(
     return wide.mapInArrow(run, schema)
 
 
-def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
-    """Text without the words of spans and what stands between them; a blank closes the gap."""
-    raw = text.encode()
-    lowered = raw.translate(MARK_WORDS)
-    marks = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20]+", lowered)]
+def cut_text(raw: bytes, spans: list[tuple[int, int]]) -> str:
+    """UTF-8 text without the words of spans and what stands between them; a blank closes the gap."""
+    marks = [m.span() for m in re.finditer(rb"[^\x20]+", raw.translate(MARK_WORDS))]
     parts, at = [], 0
     for first, past in spans:
         parts.append(raw[at : marks[first][0]])
@@ -316,13 +318,7 @@ def cut_text(text: str, spans: list[tuple[int, int]]) -> str:
     return b" ".join(parts).decode()
 
 
-def remove_hits(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of find_hits() with spans cut out of the text; clean rows stay as they are, and go through no Python."""
-
-    @F.udf("string")
-    def cut(text, spans):
-        return None if text is None else cut_text(text, [(s["first"], s["past"]) for s in spans])
-
-    text, hit = F.col(f"row.{text_col}"), F.col("hits.n_hit") > 0
-    cleaned = F.when(hit, cut(F.when(hit, text), F.when(hit, F.col("hits.spans")))).otherwise(text)
-    return found.withColumn("_text", cleaned).select(*[F.col("_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in found.schema["row"].dataType.names], F.col("hits"))
+def cleaned(found: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of find_hits(cut=True) with the cut texts, and hits; clean rows are as they were."""
+    own = lambda c: F.coalesce("hits.cut", f"row.{c}") if c == text_col else F.col("row").getField(c)
+    return found.select(*[own(c).alias(c) for c in found.schema["row"].dataType.names], "hits")

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import SPACE_WORDS, batches, columns_of, settle, words_of
+from tributary.llm.common import SPACE_WORDS, batches, columns_of, discard, settle, small_batches, words_of
 from tributary.llm.near_dedup import id_kind, mixed
 
 BATCH_BYTES = 10 << 20
@@ -133,6 +133,7 @@ def text_batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     import pyarrow as pa
     import xxhash
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 
@@ -305,6 +306,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     sent = None
     if (found["bytes"] or 0) <= max_broadcast:
         sent = docs.sparkSession.sparkContext.broadcast({r["seg"]: bytes(r["bits"]) for r in segments.toLocalIterator()})
+        discard(segments)
     else:
         answers = answers.unionByName(sent_levels(held, segments, pair_bits).select("batch", "seg", F.lit(None).cast("binary").alias("counts"), "levels"))
 

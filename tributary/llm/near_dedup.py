@@ -29,12 +29,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import SPACE_WORDS, batches, columns_of, settle, words_of
+from tributary.llm.common import SPACE_WORDS, batches, columns_of, discard, id_filter, settle, small_batches, split_by, words_of
 from tributary.llm.components import components
 
 BINS, BAND = 128, 4
 #: Words whose hashes a worker remembers at most.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Bits of a parity sketch, in words of 64.
 SKETCH = 2048
 #: Slots of a walk over bins; the walk of a bin repeats after them, and then the nearest full bin is taken.
@@ -107,6 +107,15 @@ def signature(own: np.ndarray, walk: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(bins: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each BAND bins, by their values and place."""
+    rows = bins.reshape(-1, BAND).astype(np.uint64)
+    key = np.arange(len(rows), dtype=np.uint64)
+    for i in range(BAND):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
+    return key.view(np.int64)
+
+
 def parity(own: np.ndarray) -> np.ndarray:
     """The parity sketch of a set of hashes: SKETCH // 64 whole numbers."""
     odd = np.bincount((own & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
@@ -114,13 +123,14 @@ def parity(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, with_sets: bool) -> DataFrame:
-    """Rows (id, n, node, sig, odd) of all docs, or (id, n, node, sh) with the hashes of their shingles.
+    """Rows (id, n, node, bands, odd) of all docs, or (id, n, node, sh) with the hashes of their shingles.
 
-    node: a 64-bit hash of the set, which names it; sig: the bins; odd: the parity sketch.
+    node: a 64-bit hash of the set, which names it; bands: the bucket keys; odd: the parity sketch.
     """
     import pyarrow as pa
     import xxhash
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 
@@ -135,11 +145,11 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, with_sets:
                 cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_kind(kind)), n, node, pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=["id", "n", "node", "sh"])
             else:
-                sig = pa.array([signature(s, walk).tobytes() if len(s) else None for s in sets], pa.binary())
+                bands = pa.array([band_keys(signature(s, walk)) if len(s) else None for s in sets], pa.list_(pa.int64()))
                 odd = pa.array([parity(s).tobytes() if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, id_kind(kind)), n, node, sig, odd], names=["id", "n", "node", "sig", "odd"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_kind(kind)), n, node, bands, odd], names=["id", "n", "node", "bands", "odd"])
 
-    return slim.mapInArrow(run, f"id {kind}, n long, node long, sh array<long>" if with_sets else f"id {kind}, n long, node long, sig binary, odd binary")
+    return slim.mapInArrow(run, f"id {kind}, n long, node long, sh array<long>" if with_sets else f"id {kind}, n long, node long, bands array<long>, odd binary")
 
 
 def id_kind(kind: str):
@@ -148,22 +158,18 @@ def id_kind(kind: str):
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """Rows (key, node, n) of each node's bands."""
-    width = 4 * BAND
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BINS // BAND - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))
-    return nodes.select("node", "n", F.explode(bands).alias("key"))
-
-
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: int, words: int, id_col: str, text_col: str) -> DataFrame:
     """Of pairs (a, b) of nodes, those whose full sets are similar. Shingles are made anew, for one document of each such node."""
     wanted = settle(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id"), "node"), "candidates")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.select("id"), "id", "left_semi")
-    # An id may come in several rows, with other texts too; only the sets asked for stay, each once.
+    bits = settle(id_filter(wanted, "id"), "candidate_bits")
+    texts, _ = split_by(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", bits)
+    # Some texts are not asked for, and an id may come with several; only the sets asked for stay, each once.
     sets = settle(sketches(texts, words, "id", "text", True).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "sh"), "candidate_sets")
     one, two = sets.toDF("a", "na", "sa"), sets.toDF("b", "nb", "sb")
     same = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").filter(100 * same >= threshold * (F.col("na") + F.col("nb") - same)).select("a", "b")
+    links = settle(pairs.join(one, "a").join(two, "b").filter(100 * same >= threshold * (F.col("na") + F.col("nb") - same)).select("a", "b"), "links")
+    discard(wanted, bits, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,11 +177,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, words: int = 5, id_col
 
     threshold: the least similarity, in hundredths. component_id: the least id of those that links reach.
     """
-    own = settle(sketches(docs, words, id_col, text_col, False), "sketches")
-    grouped = own.filter("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("odd").alias("odd"))
-    nodes = settle(grouped, "sets")
+    full = settle(sketches(docs, words, id_col, text_col, False), "sketches")
+    grouped = full.filter("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    nodes, own = settle(grouped, "sets"), settle(full.select("id", "n", "node"), "documents")
+    discard(full)
 
-    members = buckets(nodes)
+    members = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     placed = settle(members.join(shared, "key"), "placed")
     crowd = placed.groupBy("node").agg(F.sum("m").alias("met"))
@@ -184,7 +191,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, words: int = 5, id_col
     possible = F.least("n", "n2") * 100 >= threshold * F.greatest("n", "n2")
     stars = placed.join(centres, "key").filter(F.col("node") != F.col("centre")).filter(possible)
     stars = settle(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "stars")
-    links = settle(confirmed(stars, nodes, docs, threshold, words, id_col, text_col), "links")
+    links = confirmed(stars, nodes, docs, threshold, words, id_col, text_col)
     roots = settle(components(links), "roots")
 
     # What the stars leave: buckets with members of several components.
@@ -201,10 +208,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, words: int = 5, id_col
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = settle(met.join(stars, ["a", "b"], "left_anti"), "across")
     if tried.limit(1).count():
-        more = settle(confirmed(tried, nodes, docs, threshold, words, id_col, text_col), "more_links")
+        more = confirmed(tried, nodes, docs, threshold, words, id_col, text_col)
         if more.limit(1).count():
             roots = settle(components(links.unionByName(more)), "all_roots")
 
+    discard(placed, stars, left, tried)
     rooted = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     known = rooted.join(least, "root").select("node", "component_id")

@@ -7,7 +7,7 @@ carries its id matrix line, cumulative segment lengths and positions that begin
 
 Shards of about `shard_tokens` tokens are packed alone, each by the task that reads its documents: memory is
 bounded, nothing is shuffled, and a lost task is simply run again. Each shard's last rows may stay
-partly empty; at two million tokens that is far below 1 % of the ids.
+partly empty; at a million tokens that is below 1 % of the ids.
 
 Defined results: null and empty texts are one end id. Rows come as they are, so repeated rows
 are packed repeatedly. An empty table gives no rows.
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import columns_of
+from tributary.llm.common import columns_of, small_batches
 
 SCHEMA = "ids binary, positions binary, cu_seqlens array<int>, doc_ids array<{kind}>, doc_starts array<long>, n_tokens int"
 
@@ -89,7 +89,7 @@ def encoder(ranks_file: str, pattern: str):
 
 
 def pack(
-    docs: DataFrame, ranks_file: str, pattern: str, length: int = 2048, end_id: int = 50256, pad_id: int = 50256, shard_tokens: int = 2_000_000,
+    docs: DataFrame, ranks_file: str, pattern: str, length: int = 2048, end_id: int = 50256, pad_id: int = 50256, shard_tokens: int = 1_000_000,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Packed rows. ids, positions: little-endian int32, length of each; cu_seqlens: from 0 to n_tokens;
@@ -97,6 +97,7 @@ def pack(
     """
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     schema = SCHEMA.format(kind=kind)

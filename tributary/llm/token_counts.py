@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import columns_of
+from tributary.llm.common import columns_of, small_batches
 
 MARK = "▁"
 #: Units whose counts a worker remembers at most.
@@ -101,6 +101,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     """Rows (id, n_bytes, n_tokens, over_limit), one for each row of docs."""
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(it):

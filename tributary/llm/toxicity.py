@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.llm.common import MARK_WORDS, columns_of, words_of
+from tributary.llm.common import MARK_WORDS, columns_of, small_batches, words_of
 
 MAX_ROWS, MAX_BYTES, FEATURES, FOLDS = 6000, 40_000, 400, 4
 LEAST_ROWS = 3
@@ -215,6 +215,7 @@ def score(docs: DataFrame, chain: Chain, categories: Sequence[str], text_col: st
     """Rows (row, p): each row of docs as a struct of the columns in keep (default: all), and a struct of probabilities by category."""
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     wide = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col(text_col).cast("binary").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(Scorer(chain))  # some hundred weights a category
     kind = pa.struct([(c, pa.float64()) for c in categories])
