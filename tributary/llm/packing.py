@@ -148,7 +148,9 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 def unpacked(packed: DataFrame, length: int = 2048) -> DataFrame:
     """Rows (doc_id, start, ids array) of all segments: the way back."""
-    ids = F.expr(f"transform(sequence(0, {length - 1}), i -> cast(conv(hex(reverse(substring(ids, 4 * i + 1, 4))), 16, 10) as int))")
+    number = "concat(substr(h, 8 * i + 7, 2), substr(h, 8 * i + 5, 2), substr(h, 8 * i + 3, 2), substr(h, 8 * i + 1, 2))"
+    ids = F.expr(f"transform(sequence(0, {length - 1}), i -> cast(conv({number}, 16, 10) as int))")
+    packed = packed.withColumn("h", F.hex("ids"))
     parts = packed.select(ids.alias("all"), "cu_seqlens", F.posexplode(F.arrays_zip("doc_ids", "doc_starts")).alias("k", "s"))
     return parts.select(
         F.col("s.doc_ids").alias("doc_id"), F.col("s.doc_starts").alias("start"),
