@@ -73,6 +73,7 @@ def plain_scores(rows):
 def test_lm_scores(spark, odd_rows, max_broadcast, monkeypatch):
     monkeypatch.setattr(lm_score, "SEGMENT_WORDS", 300)
     monkeypatch.setattr(lm_score, "SEGMENT_PAIRS", 500)
+    monkeypatch.setattr(lm_score, "PART_TOKENS", 700)
     got = sorted((tuple(r) for r in lm_score.lm_scores(docs_of(spark, odd_rows).repartition(3), max_broadcast=max_broadcast).collect()), key=repr)
     want = sorted(plain_scores(odd_rows), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
@@ -93,11 +94,12 @@ def test_filter_levels():
     pairs = np.unique(r.integers(0, 1 << 40, 20_000).astype(np.uint64))
     counts = r.zipf(1.5, len(pairs)).clip(1, 10**6)
     bits = lm_score.build_filter(pairs, counts)
-    got = lm_score.read_levels(bits, pairs)
+    own = np.frombuffer(bits, np.uint8)
+    got = lm_score.read_levels(own, pairs, 8 * len(own))
     want = np.searchsorted(lm_score.LEAST, counts, side="right")
     assert (got >= want).all() and (got == want).mean() > 0.97  # one-sided
     other = np.setdiff1d(r.integers(0, 1 << 40, 20_000).astype(np.uint64), pairs)
-    assert (lm_score.read_levels(bits, other) > 0).mean() < 0.03
+    assert (lm_score.read_levels(own, other, 8 * len(own)) > 0).mean() < 0.03
     assert len(bits) * 8 <= lm_score.BITS_PER_ENTRY * want.sum() + 64
     assert list(lm_score.MEANT[:5]) == [0, 1, 2, 3, 4]
 

@@ -35,6 +35,8 @@ BATCH_BYTES = 10 << 20
 #: Entries of a segment of word counts, and bigrams of a segment of the filter, about.
 SEGMENT_WORDS, SEGMENT_PAIRS = 500_000, 1_000_000
 HASHES, BITS_PER_ENTRY = 6, 9
+#: Tokens that are scored at once, about; a document's stay together.
+PART_TOKENS = 1 << 18
 MAX_BROADCAST = 128 << 20
 END = b" "
 START_HASH = np.uint64(0x9AE16A3B2F90404F)
@@ -53,11 +55,14 @@ LEAST = thresholds()
 MEANT = np.concatenate([[0], (LEAST + np.concatenate([LEAST[1:] - 1, LEAST[-1:]])) / 2])
 
 
-def places(pairs: np.ndarray, level: int | np.ndarray, bits: int) -> np.ndarray:
-    """Bit numbers, a row for each of HASHES, by double hashing."""
-    a = mixed(pairs + np.uint64(0x9E3779B97F4A7C15) * np.asarray(level, np.uint64))
+def places(pairs: np.ndarray, level: int, bits: int | np.ndarray):
+    """Bit numbers, HASHES times one for each pair, by double hashing; bits: of the segment, or of each pair's."""
+    a = mixed(pairs + np.uint64(0x9E3779B97F4A7C15 * level % 2**64))
     b = mixed(a ^ np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-    return np.stack([(a + np.uint64(i) * b) % np.uint64(bits) for i in range(HASHES)])
+    bits = np.asarray(bits, np.uint64)
+    for _ in range(HASHES):
+        yield a % bits
+        a = a + b
 
 
 def build_filter(pairs: np.ndarray, counts: np.ndarray) -> bytes:
@@ -69,25 +74,51 @@ def build_filter(pairs: np.ndarray, counts: np.ndarray) -> bytes:
     step = 0
     while len(live):
         step += 1
-        own[places(pairs[live], step, bits).ravel()] = 1
+        for at in places(pairs[live], step, bits):
+            own[at] = 1
         live = live[level[live] > step]
     return np.packbits(own, bitorder="little").tobytes()
 
 
-def read_levels(segment: bytes, pairs: np.ndarray) -> np.ndarray:
-    """Levels by probes for 1, 2, ... until a bit is missing."""
-    own = np.frombuffer(segment, np.uint8)
+def read_levels(own: np.ndarray, pairs: np.ndarray, bits: int | np.ndarray, start: int | np.ndarray = 0) -> np.ndarray:
+    """Levels by probes for 1, 2, ... until a bit is missing.
+
+    own: the bytes of a segment, or of several; bits and start: the segment's size and first byte, or each pair's.
+    """
     out, live, step = np.zeros(len(pairs), np.uint8), np.arange(len(pairs)), 0
+    bits, start = (np.broadcast_to(np.asarray(x, np.int64), len(pairs)) for x in (bits, start))
     while len(live) and step < len(LEAST):
         step += 1
         found = np.ones(len(live), bool)
-        for at in places(pairs[live], step, 8 * len(own)):
-            found &= (own[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        first = start[live]
+        for at in places(pairs[live], step, bits[live]):
+            at = at.astype(np.int64)
+            found &= (own[first + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
         live = live[found]
         out[live] = step
     return out
 
 
+class Filter:
+    """All segments in one array."""
+
+    def __init__(self, segments: list[tuple[int, bytes]], count: int):
+        self.bytes = np.frombuffer(b"".join(b for _, b in segments), np.uint8)
+        self.bits, self.start = np.zeros(count, np.int64), np.zeros(count, np.int64)
+        at = 0
+        for s, b in segments:
+            self.bits[s], self.start[s] = 8 * len(b), at
+            at += len(b)
+
+    def levels(self, pairs: np.ndarray, segment_bits: int) -> np.ndarray:
+        """pairs: sorted, so those of a segment follow each other and its bytes stay at hand."""
+        segment, out = segment_of(pairs, segment_bits), np.zeros(len(pairs), np.uint8)
+        there = np.flatnonzero(self.bits[segment])
+        segment = segment[there]
+        out[there] = read_levels(self.bytes, within(pairs[there], segment_bits), self.bits[segment], self.start[segment])
+        return out
+
+
 def segment_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
@@ -266,8 +297,8 @@ def sent_levels(held: DataFrame, segments: DataFrame, bits: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in some], pa.int64()), pa.array([batch] * len(some), pa.int64()), pa.array([pack40(code[x:y]) for _, x, y in some], pa.binary())], names=["seg", "batch", "pairs"])
 
     def read(asked, filters):
-        own = filters.column("bits")[0].as_py() if filters.num_rows else None
-        levels = [read_levels(own, p).tobytes() if own else bytes(len(p)) for p in (unpack40(x.as_py()) for x in asked.column("pairs"))]
+        own = np.frombuffer(filters.column("bits")[0].as_py(), np.uint8) if filters.num_rows else None
+        levels = [bytes(len(p)) if own is None else read_levels(own, p, 8 * len(own)).tobytes() for p in (unpack40(x.as_py()) for x in asked.column("pairs"))]
         return pa.table({"seg": asked.column("seg"), "batch": asked.column("batch"), "levels": pa.array(levels, pa.binary())})
 
     parts = held.select("batch", "n", "tokens", "vocab").mapInArrow(split, "seg long, batch long, pairs binary")
@@ -305,37 +336,43 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     answers = counts.filter("batch IS NOT NULL").select("batch", "seg", "counts", F.lit(None).cast("binary").alias("levels"))
     sent = None
     if (found["bytes"] or 0) <= max_broadcast:
-        sent = docs.sparkSession.sparkContext.broadcast({r["seg"]: bytes(r["bits"]) for r in segments.toLocalIterator()})
+        sent = docs.sparkSession.sparkContext.broadcast(Filter([(r["seg"], bytes(r["bits"])) for r in segments.toLocalIterator()], 1 << pair_bits))
         discard(segments)
     else:
         answers = answers.unionByName(sent_levels(held, segments, pair_bits).select("batch", "seg", F.lit(None).cast("binary").alias("counts"), "levels"))
 
-    def levels_of(pairs: np.ndarray, told: list[bytes]) -> np.ndarray:
-        if sent is None:
-            return np.frombuffer(b"".join(told), np.uint8)
-        code = within(pairs, pair_bits)
-        return np.concatenate([read_levels(sent.value[s], code[x:y]) if s in sent.value else np.zeros(y - x, np.uint8) for s, x, y in cuts(segment_of(pairs, pair_bits))])
+    def levels_of(pairs: np.ndarray, told: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """Levels of sorted distinct bigrams; told: all of the batch, if the filter isn't here, with theirs."""
+        if told:
+            return told[1][np.searchsorted(told[0], pairs)]
+        return sent.value.levels(pairs, pair_bits)
 
     def score(batch, told):
         told = sorted(told.select(["seg", "counts", "levels"]).to_pylist(), key=lambda r: r["seg"])
-        count = np.frombuffer(b"".join(r["counts"] for r in told if r["counts"] is not None), np.int64).astype(np.float64)
-        ids, flags, n = (batch.column(c)[0].as_py() for c in ("ids", "held", "n"))
+        ids, flags, sizes = (batch.column(c)[0].as_py() for c in ("ids", "held", "n"))
         tokens, (vocab,) = unpack_tokens(batch.column("tokens")[0].as_buffer()), numbers(batch, "vocab", np.uint64)
         by_word = np.empty(len(vocab))
-        by_word[np.argsort(vocab)] = count
-        n = np.array(n, np.int64)
-        first = np.cumsum(n) - n
-        word = by_word[tokens]
-        p0 = (word + 0.5) / (total + 0.5 * (distinct + 1))
-        before = np.concatenate([[0.0], word[:-1]])
-        before[first] = starts
-        pairs, place = np.unique(pair_hashes(tokens, n, vocab), return_inverse=True)
-        pair = np.minimum(MEANT[levels_of(pairs, [r["levels"] for r in told if r["levels"] is not None])][place], np.minimum(before, word))
-        others = np.maximum(before, 1e-300) ** power
-        p = np.where(before > 0, (pair + others * p0) / (before + others), p0)
-        base, full = np.add.reduceat(np.log10(p0), first), np.add.reduceat(np.log10(p), first)
+        by_word[np.argsort(vocab)] = np.frombuffer(b"".join(r["counts"] for r in told if r["counts"] is not None), np.int64)
+        sizes = np.array(sizes, np.int64)
+        every = (np.unique(pair_hashes(tokens, sizes, vocab)), np.frombuffer(b"".join(r["levels"] for r in told if r["levels"] is not None), np.uint8)) if sent is None else None
+        known, base, full = [], [], []
+        ends = np.cumsum(sizes)
+        parts = np.flatnonzero(np.diff(ends // PART_TOKENS, prepend=-1))  # documents at which parts of the batch begin
+        for a, b in zip(parts.tolist(), [*parts[1:].tolist(), len(sizes)]):
+            own, n = tokens[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b]
+            first = np.cumsum(n) - n
+            word = by_word[own]
+            p0 = (word + 0.5) / (total + 0.5 * (distinct + 1))
+            before = np.concatenate([[0.0], word[:-1]])
+            before[first] = starts
+            pairs, place = np.unique(pair_hashes(own, n, vocab), return_inverse=True)
+            pair = np.minimum(MEANT[levels_of(pairs, every)][place], np.minimum(before, word))
+            others = np.maximum(before, 1e-300) ** power
+            p = np.where(before > 0, (pair + others * p0) / (before + others), p0)
+            for to, x in ((known, (word > 0).astype(np.int64)), (base, np.log10(p0)), (full, np.log10(p))):
+                to.append(np.add.reduceat(x, first))
         return pa.table(
-            [batch.column("ids")[0].values, pa.array(flags, pa.bool_()), pa.array(n), pa.array(np.add.reduceat((word > 0).astype(np.int64), first)), pa.array(np.full(len(n), total)), pa.array(base), pa.array(full)],
+            [batch.column("ids")[0].values, pa.array(flags, pa.bool_()), pa.array(sizes), pa.array(np.concatenate(known)), pa.array(np.full(len(sizes), total)), pa.array(np.concatenate(base)), pa.array(np.concatenate(full))],
             names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
