@@ -22,7 +22,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of each group of near duplicates the document of least id stays, one row of it."""
+    """Operator 4: of each group of near duplicates the document of least id stays, one row of it. Rows without id stay."""
     found = settle(near_dedup.near_duplicates(docs), "near_duplicates")
     gone = found.filter("NOT kept").select("doc_id").distinct()
     maybe, out = split_by(docs, "doc_id", settle(id_filter(gone, "doc_id"), "gone_bits"))  # few texts meet the ids by a shuffle
