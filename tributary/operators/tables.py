@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tributary.plans.spec import Stream
 
 #: Rows are put into this many buckets by hash of their name where they need an order that many tasks can make.
-BUCKETS = 1024
+#: Sums by bucket are a table of at most so many rows a key; rows of a bucket are ordered by one task.
+BUCKETS = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -15,14 +15,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tributary.operators.bandjoin import band_join
-from tributary.operators.tables import bucket, keep
+from tributary.operators.tables import BUCKETS, bucket, keep, rid
 from tributary.operators.weights import WEIGHT, cell, edge_columns, group_rows, key_columns, message, take_message, weigh
 from tributary.plans.planner import Node
 from tributary.plans.spec import Spec
 
 
-def positions(spec: Spec, node: Node, wanted: dict[str, set[str]]) -> DataFrame:
-    """A node's rows, one by one: keys, _rid, _b (bucket), _w and the sums _m0, _m1, ... of its children."""
+def positions(spec: Spec, node: Node, wanted: dict[str, set[str]], near: DataFrame | None = None) -> DataFrame:
+    """A node's rows, one by one: keys, _rid, _b (bucket), _w and the sums _m0, _m1, ... of its children.
+
+    near: buckets (_b) whose rows are wanted; others leave the table before it is joined with anything.
+    """
+    if near is not None:
+        s = spec.streams[node.group.root]
+        spec = spec.over({s.name: s.frame.join(near, bucket(rid(s)) == near["_b"], "left_semi")})
     rows = group_rows(spec, node.group, wanted, rids={node.group.root}).withColumn("_w", F.lit(1).cast(WEIGHT))
     for i, child in enumerate(node.children):
         rows = take_message(child, rows, message(spec, child, weigh(spec, child, wanted, False), []), [], f"_m{i}")
@@ -37,22 +43,40 @@ def running(over, order: list[str]) -> Column:
     return F.coalesce(F.sum("_w").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast(WEIGHT)
 
 
-def look_up(draws: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """For draws (draw, keys..., _j) the row that number _j falls on, with _x, what is left of it."""
-    sums = rows.groupBy(*keys, "_b").agg(F.sum("_w").cast(WEIGHT).alias("_w"))
-    if keys:
-        sums = sums.join(draws.select(*keys).distinct(), keys, "left_semi")
+def look_up(draws: DataFrame, keys: list[str], rows_of) -> DataFrame:
+    """For draws (draw, keys..., _j) the row that number _j falls on, with _x, what is left of it.
+
+    rows_of: from None, or a table of buckets, to the rows of all, or of these, buckets.
+    """
+    asked = draws.select(*keys).distinct() if keys else None
+    of_keys = lambda rows: rows.join(asked, keys, "left_semi") if keys else rows
+    sums = of_keys(rows_of(None)).groupBy(*keys, "_b").agg(F.sum("_w").cast(WEIGHT).alias("_w"))
     sums = sums.withColumn("_lo", running(keys, ["_b"]))
     falls = (F.col("_j") >= F.col("_lo")) & (F.col("_j") < F.col("_lo") + F.col("_w"))
     if keys:
         at = draws.join(sums, keys).filter(falls)
-    else:  # the root: as many sums as there are buckets at most
-        at = draws.withColumn("_one", F.lit(1)).join(F.broadcast(sums.withColumn("_one", F.lit(1))), "_one").filter(falls).drop("_one")
+    else:
+        at = at_root(draws, sums)
     at = keep(at.select("draw", *keys, "_b", (F.col("_j") - F.col("_lo")).cast(WEIGHT).alias("_j")), "draws")
-    near = rows.join(at.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").withColumn("_lo", running([*keys, "_b"], ["_rid"]))
+    hit = at.select(*keys, "_b").distinct()
+    near = of_keys(rows_of(at.select("_b").distinct())).join(hit, [*keys, "_b"], "left_semi").withColumn("_lo", running([*keys, "_b"], ["_rid"]))
     return at.join(near, [*keys, "_b"]).filter(falls).withColumn("_x", (F.col("_j") - F.col("_lo")).cast(WEIGHT)).drop("_j", "_lo", "_b", "_w")
 
 
+def at_root(draws: DataFrame, sums: DataFrame) -> DataFrame:
+    """Draws with the bucket that they fall on, by bins of numbers: a bucket is in all bins that it reaches into.
+
+    There are at most as many bins as buckets, so twice BUCKETS rows of sums meet the draws, however many these are.
+    """
+    sums = keep(sums, "sums")
+    size = int(sums.agg(F.max(F.col("_lo") + F.col("_w"))).first()[0] or 0)
+    width = F.lit(str(size // BUCKETS + 1)).cast(WEIGHT)
+    place = lambda x: ((x - x % width) / width).cast("long")
+    reach = sums.withColumn("_bin", F.explode(F.sequence(place(F.col("_lo")), place((F.col("_lo") + F.col("_w") - 1).cast(WEIGHT)))))
+    falls = (F.col("_j") >= F.col("_lo")) & (F.col("_j") < F.col("_lo") + F.col("_w"))
+    return draws.withColumn("_bin", place(F.col("_j"))).join(reach, "_bin").filter(falls)
+
+
 def into_band(draws: DataFrame, rows: DataFrame, node: Node, mine: str, theirs: str) -> DataFrame:
     """For draws (draw, mine, _j) the child's key that _j falls on, as `theirs`, and what is left as _j."""
     sums = rows.groupBy(theirs).agg(F.sum("_w").cast(WEIGHT).alias("_w"))
@@ -63,17 +87,16 @@ def into_band(draws: DataFrame, rows: DataFrame, node: Node, mine: str, theirs:
 
 def descend(spec: Spec, node: Node, draws: DataFrame, wanted: dict[str, set[str]]) -> DataFrame:
     """(draw, <stream>_rid...) for a node and all below it; draws: (draw, _j), with the parent's key as `_k...`."""
-    rows = positions(spec, node, wanted)
     keys: list[str] = []
     if node.edge:
         keys = key_columns(node, node.stream)
         mine = [f"_k{i}" for i in range(len(keys))]
         if node.edge.is_band:
-            draws = into_band(draws, rows, node, mine[0], keys[0])
+            draws = into_band(draws, positions(spec, node, wanted), node, mine[0], keys[0])
         else:
             draws = draws.withColumnsRenamed(dict(zip(mine, keys)))
     root = node.group.root
-    found = look_up(draws, rows, keys)
+    found = look_up(draws, keys, lambda near: positions(spec, node, wanted, near))
     found = keep(found, "found")
     out = found.select("draw", F.col("_rid").alias(f"{root}_rid"))
     left = F.col("_x")
