@@ -69,6 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        before, docs = docs, settle(stage(spark, docs, sf_dir), f"stage_{name}")
+        before, docs = docs, settle(stage(spark, docs, sf_dir), f"stage_{name}", "zstd")
         discard(before)  # the input table is none that settle() wrote
     return docs

@@ -64,14 +64,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, compression: str = "uncompressed") -> DataFrame:
     """Write a table in the shared folder and read it: lineage ends here.
 
+    Most such tables hold hashes, which don't compress; without a codec writers need no native memory. Counts and texts do.
+
     What is computed once stays the same for every later reader, also after the loss of
     executors, and it may hold values (such as batch ids) drawn at random by a task.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._settled = path
     return out

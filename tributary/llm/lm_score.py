@@ -320,16 +320,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    held = settle(text_batches(docs, id_col, text_col), "lm_batches")
+    held = settle(text_batches(docs, id_col, text_col), "lm_batches", "zstd")
     trained = F.aggregate("held", F.lit(0).cast("long"), lambda a, h: a + F.when(h, 0).otherwise(1).cast("long"))
     sizes = held.agg(F.sum(F.length("vocab") / 8).cast("long").alias("words"), F.sum(trained).alias("docs")).first()
-    counts = settle(word_counts(held, segment_bits(sizes["words"] or 0, SEGMENT_WORDS)), "lm_counts")
+    counts = settle(word_counts(held, segment_bits(sizes["words"] or 0, SEGMENT_WORDS)), "lm_counts", "zstd")
     # How many words have each count: as many rows as there are different counts, below the square root of twice the tokens.
     shape = counts.filter("batch IS NULL").select(F.explode(F.map_from_arrays("seen", "times")).alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).collect()
     seen, times = np.array([r["c"] for r in shape], np.int64), np.array([r["n"] for r in shape], np.int64)
     total, distinct, starts = int((seen * times).sum()), int(times.sum()), int(sizes["docs"] or 0)
     pair_bits = segment_bits(total, SEGMENT_PAIRS)
-    segments = settle(filter_segments(held, pair_bits), "lm_filter")
+    segments = settle(filter_segments(held, pair_bits), "lm_filter", "zstd")
     found = segments.agg(F.sum("pairs").alias("pairs"), F.sum(F.length("bits")).alias("bytes")).first()
     power = followers_power(seen, times, found["pairs"] or 0)
 
