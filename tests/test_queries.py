@@ -30,3 +30,9 @@ def test_counts_plan_no_python(spark):
     for name in ("count_qx", "count_qy", "count_qz", "tumbling_count"):
         plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_bottom_k_draws_any_line(spark):
+    drawn = queries.queries()["bottomk_swor_whole_qx"](spark, SF).collect()
+    lines = {r[c].split("|")[1] for r in drawn for c in ("lr_rid", "la_rid")}
+    assert len(drawn) == 100 and lines > {"1", "2", "3"}

@@ -148,6 +148,11 @@ def bottomk_swor_qx(spark, d):
     return q.set_sampling_without_replacement(100, seed=SEED).samples().drop("draw")
 
 
+def bottomk_swor_whole_qx(spark, d):
+    """bottomk_swor_qx draws from first lines only; this draws from all of QX."""
+    return qx(spark, d, "enumerate").set_sampling_without_replacement(100, seed=SEED).samples().drop("draw")
+
+
 def tumbling_count(spark, d):
     return lanes(spark, d).set_tumbling_window(86400).count_frame()
 
@@ -237,8 +242,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         count_qx, count_qy, count_qz, count_linear_road, row_weights_qy, filter_equi, filter_neq, filter_band, band_join_2way, fk_fold_count,
-        fk_untrusted_count, self_join_count, enumerate_qy_filtered, unrank_qy, bernoulli_qy, swor_qy, swr_qy, bottomk_swor_qx, tumbling_count,
-        tumbling_swor, sliding_live_count, sliding_swor, result_ts, fifo_delete_count, fifo_delete_swor, report_rows, added_count_qy,
+        fk_untrusted_count, self_join_count, enumerate_qy_filtered, unrank_qy, bernoulli_qy, swor_qy, swr_qy, bottomk_swor_qx, bottomk_swor_whole_qx,
+        tumbling_count, tumbling_swor, sliding_live_count, sliding_swor, result_ts, fifo_delete_count, fifo_delete_swor, report_rows, added_count_qy,
         key_problems_qx, resolve_samples, cumulative_n_proc,
     )
     return {f.__name__: f for f in found}
@@ -320,6 +325,9 @@ def oracle_sql() -> dict[str, str]:
         "bottomk_swor_qx": f"""SELECT lr_rid, la_rid, o_rid, p_rid FROM (
   SELECT {LINE_SQL.format('lr')} AS lr_rid, {LINE_SQL.format('la')} AS la_rid, CAST(o.o_orderkey AS VARCHAR) AS o_rid, CAST(p.p_partkey AS VARCHAR) AS p_rid
   FROM {QX_FROM} AND lr.l_linenumber = 1 AND la.l_linenumber = 1) t ORDER BY md5(concat_ws('|', '{SEED}', lr_rid, la_rid, o_rid, p_rid)), lr_rid, la_rid, o_rid, p_rid LIMIT 100""",
+        "bottomk_swor_whole_qx": f"""SELECT lr_rid, la_rid, o_rid, p_rid FROM (
+  SELECT {LINE_SQL.format('lr')} AS lr_rid, {LINE_SQL.format('la')} AS la_rid, CAST(o.o_orderkey AS VARCHAR) AS o_rid, CAST(p.p_partkey AS VARCHAR) AS p_rid
+  FROM {QX_FROM}) t ORDER BY md5(concat_ws('|', '{SEED}', lr_rid, la_rid, o_rid, p_rid)), lr_rid, la_rid, o_rid, p_rid LIMIT 100""",
         "tumbling_count": f"WITH {EVENTS} SELECT v.ts // 86400 AS \"window\", CAST(count(*) AS BIGINT) AS n_seen FROM {LANES} WHERE v.event_type = 'view' AND v.ts // 86400 = c.ts // 86400 AND c.ts // 86400 = p.ts // 86400 GROUP BY 1",
         "tumbling_swor": f"WITH {EVENTS}, {lanes_all(IN_TUMBLING)}, {swor_draws(20)} {swor_lanes}",
         "sliding_live_count": f"WITH {EVENTS} {COUNT} {LANES} WHERE v.event_type = 'view' AND {IN_SLIDING.replace('863999', '431999')}",

@@ -177,7 +177,9 @@ class JoinQuery:
         rids = [f"{s}_rid" for s in q.spec.streams]
         spark = next(iter(q.spec.streams.values())).frame.sparkSession
         if q.algorithm == "enumerate":
-            made = tables.keep(enumeration.results(q.spec).select(*rids), "results")
+            made = enumeration.results(q.spec).select(*rids)
+            if how.kind != "swor":  # the least hashes take one pass over results, so these need not be written
+                made = tables.keep(made, "results")
             if how.kind == "bernoulli":
                 sample = sampling.bernoulli_of(made, rids, how.amount, how.seed)
             else:
