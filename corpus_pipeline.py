@@ -22,11 +22,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of each group of near duplicates the document of least id stays, one row of it. Rows without id stay."""
-    found = settle(near_dedup.near_duplicates(docs), "near_duplicates")
-    gone = found.filter("NOT kept").select("doc_id").distinct()
+    """Operator 4: of each group of near duplicates the document of least id stays, one row of it. Rows without id stay.
+
+    Rows that share an id but differ in text are decided on by themselves.
+    """
+    found = settle(near_dedup.near_duplicates(docs, by_text=True), "near_duplicates")
+    gone = found.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id", "text_hash").distinct()
     maybe, out = split_by(docs, "doc_id", settle(id_filter(gone, "doc_id"), "gone_bits"))  # few texts meet the ids by a shuffle
-    out = out.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    out = out.unionByName(maybe.join(gone, (maybe["doc_id"] == gone["doc_id"]) & (F.xxhash64(maybe["text"]) == gone["text_hash"]), "left_anti").select(*docs.columns))
     again = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     again = settle(again, "repeated")
     if again.limit(1).count():  # rows that share an id: those with one text are copies

@@ -122,21 +122,21 @@ def parity(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, with_sets: bool) -> DataFrame:
+def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, with_sets: bool, by_text: bool = False) -> DataFrame:
     """Rows (id, n, node, bands, odd) of all docs, or (id, n, node, sh) with the hashes of their shingles.
 
-    node: a 64-bit hash of the set, which names it; bands: the bucket keys; odd: the parity sketch.
+    node: a 64-bit hash of the set, which names it; bands: the bucket keys; odd: the parity sketch; by_text: text_hash too.
     """
     import pyarrow as pa
     import xxhash
 
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), *([F.xxhash64(text_col).alias("text_hash")] if by_text else []))
+    kind, slim_columns = slim.schema["id"].dataType.simpleString(), slim.columns
 
     def run(it):
         hashes, walk = WordHashes(), walks()
-        for rows in batches(columns_of(it, "id", "text"), lambda r: len(r[1] or b"") + 1000, 4 << 20):
+        for rows in batches(columns_of(it, *slim_columns), lambda r: len(r[1] or b"") + 1000, 4 << 20):
             ids, sets = [r[0] for r in rows], [shingle_set(words_of(r[1], SPACE_WORDS), hashes, words) for r in rows]
             n = pa.array([len(s) for s in sets], pa.int64())
             node = pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
@@ -147,9 +147,9 @@ def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, with_sets:
             else:
                 bands = pa.array([band_keys(signature(s, walk)) if len(s) else None for s in sets], pa.list_(pa.int64()))
                 odd = pa.array([parity(s).tobytes() if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, id_kind(kind)), n, node, bands, odd], names=["id", "n", "node", "bands", "odd"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_kind(kind)), n, node, bands, odd, *([pa.array([r[2] for r in rows], pa.int64())] if by_text else [])], names=["id", "n", "node", "bands", "odd", *slim_columns[2:]])
 
-    return slim.mapInArrow(run, f"id {kind}, n long, node long, sh array<long>" if with_sets else f"id {kind}, n long, node long, bands array<long>, odd binary")
+    return slim.mapInArrow(run, f"id {kind}, n long, node long, sh array<long>" if with_sets else f"id {kind}, n long, node long, bands array<long>, odd binary" + (", text_hash long" if by_text else ""))
 
 
 def id_kind(kind: str):
@@ -172,14 +172,16 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: in
     return links
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False) -> DataFrame:
     """Rows (id, n_shingles, component_id, kept), one for each row of docs.
 
     threshold: the least similarity, in hundredths. component_id: the least id of those that links reach.
+    by_text: with text_hash, xxhash64 of the text, as rows that share an id may differ in text and so in kept.
     """
-    full = settle(sketches(docs, words, id_col, text_col, False), "sketches")
+    own_hash = ["text_hash"] if by_text else []
+    full = settle(sketches(docs, words, id_col, text_col, False, by_text), "sketches")
     grouped = full.filter("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
-    nodes, own = settle(grouped, "sets"), settle(full.select("id", "n", "node"), "documents")
+    nodes, own = settle(grouped, "sets"), settle(full.select("id", "n", "node", *own_hash), "documents")
     discard(full)
 
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -216,9 +218,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, words: int = 5, id_col
     rooted = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     known = rooted.join(least, "root").select("node", "component_id")
-    out = own.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(known, "node", "left")
+    out = own.select("id", "n", *own_hash, F.when(F.col("n") > 0, F.col("node")).alias("node")).join(known, "node", "left")
     whole = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), whole.alias("component_id"), whole.eqNullSafe(F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), whole.alias("component_id"), whole.eqNullSafe(F.col("id")).alias("kept"), *own_hash)
 
 
 SKETCH_COLUMNS = [f"w{i}" for i in range(SKETCH // 64)]
