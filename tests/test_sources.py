@@ -82,6 +82,19 @@ def test_continuous_batches_and_compaction(spark):
     assert work.reported[-1]["n_seen"] == 3 and work.reported[-1]["n_proc"] == 1
 
 
+def test_compaction_with_a_filter_and_a_delete(spark):
+    """The delete takes the oldest stored row, not one that the filter never let in."""
+    query = mini_query(spark).add_neq_filter("a", "k", 9)
+    work = ContinuousQuery(spark, query, {0: "a", 1: "b"}, {0: schema("k"), 1: schema("k")})
+    work.on_report = lambda row, sample: None
+    work.take(numbered(spark, ["0|9", "0|1", "0|2", "1|1", "1|2", "d 0 1", "-"]), 0)
+    assert work.reported[-1]["n_seen"] == 1
+    work.compact(7)
+    assert sorted(r["line_no"] for r in work.log().collect()) == [2, 3, 4]
+    work.take(spark.createDataFrame([(7, "-")], "line_no long, value string"), 1)
+    assert work.reported[-1]["n_seen"] == 1
+
+
 def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("\n".join(MINI[:8]) + "\n")

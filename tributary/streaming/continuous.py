@@ -113,6 +113,8 @@ class ContinuousQuery:
         log = self.log().filter(F.col("line_no") < before)
         spec, rows = self.query.spec, self.tables(log)
         deletes = log.filter("kind = 'delete'")
+        # As in report(): rows that filters drop are not stored, so deletes don't count them.
+        rows = {n: reports.filtered(rows[n], [f for f in spec.filters if f.stream == n]) for n in spec.streams}
         kept = []
         for sid, name in self.sids.items():
             lived = reports.lifetimes(rows[name], deletes.filter(F.col("sid") == sid).select("line_no", "n")).filter("_dies IS NULL")
