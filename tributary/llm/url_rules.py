@@ -1,9 +1,9 @@
 """URL filters: allow and block rules for hosts and path prefixes, by hashed expressions.
 
 Each URL is expanded into (host suffix, path prefix) expressions, of the lengths that rules have.
-An expression meets rules by an equi-join on the first 8 hex digits of its SHA-256; full digests
-confirm the match. Of several matches the longest rule wins, then the one with the longer host,
-then a block. Everything is DataFrame functions; there is one shuffle, of one row a URL, as rows
+An expression meets rules by an equi-join on the first 8 hex digits of its SHA-256 and on nothing else; full
+digests then confirm a match or reject it. Of several matches the longest rule wins, then the one with the longer
+host, then a block. Everything is DataFrame functions; there is one shuffle, of one row a URL, as rows
 of one URL lie together and are combined before it.
 
 Defined results: a null URL, or one without "://", has empty host and path and no rule, so it gets
@@ -71,14 +71,14 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     )
     host, path = host_and_path(F.col("_url"))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).withColumns({"_host": host, "_path": path})
-    rows = rows.select("_id", "_url", "_host", "_path", F.posexplode_outer(expressions(F.col("_host"), F.col("_path"), sorted(sizes["h"]), sorted(sizes["p"]))).alias("_n", "_expr"))
+    # A null comes before a URL's expressions: it meets no rule, so copies of a URL are counted by it, whatever prefixes collide.
+    own = expressions(F.col("_host"), F.col("_path"), sorted(sizes["h"]), sorted(sizes["p"]))
+    rows = rows.select("_id", "_url", F.explode(F.concat(F.array(F.lit(None).cast("string")), own)).alias("_expr"))
     rows = rows.withColumn("_digest", digest(F.col("_expr"))).withColumn("_prefix", F.left("_digest", F.lit(PREFIX_DIGITS)))
-    met = rows.join(keyed, (rows["_prefix"] == keyed["rule_prefix"]) & (rows["_digest"] == keyed["rule_digest"]), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "hl", (F.col("rule_verdict") == "block").alias("b"), "rule", "rule_verdict")))
-    # An expression meets at most one rule, so a URL's rows number as its expressions; copies are counted at the first.
-    one = met.groupBy("_id", "_url").agg(
-        F.sum(F.when(F.coalesce("_n", F.lit(0)) == 0, 1).otherwise(0)).alias("_copies"), best.alias("_best")
-    )
+    met = rows.join(keyed, rows["_prefix"] == keyed["rule_prefix"], "left")
+    confirmed = F.col("_digest") == F.col("rule_digest")
+    best = F.max(F.when(confirmed, F.struct(F.length("rule").alias("n"), "hl", (F.col("rule_verdict") == "block").alias("b"), "rule", "rule_verdict")))
+    one = met.groupBy("_id", "_url").agg(F.count(F.when(F.col("_expr").isNull(), 1)).alias("_copies"), best.alias("_best"))
     host, path = host_and_path(F.col("_url"))
     return one.select(
         F.col("_id").alias(id_col), host.alias("host"), path.alias("path"), F.col("_best.rule").alias("rule"),
