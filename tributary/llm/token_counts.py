@@ -6,7 +6,8 @@ gives the adjacent pair of lowest rank, leftmost first; a linked list joins neig
 
 Merges never cross a place where no piece of the vocabulary can: between a character and a
 following word mark, and around characters that occur in no longer piece. The text is cut there,
-and counts of units are kept in a bounded table, so a frequent word is merged once a worker.
+and counts of units are kept in a table of bounded bytes, so a frequent word is merged once a worker. Long units, such
+as texts without blanks, are counted but not kept.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens. Rows come back one for one, null
 ids included. There is no shuffle, and texts of any length count whole.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from tributary.llm.common import columns_of, small_batches
 
 MARK = "▁"
-#: Units whose counts a worker remembers at most.
-REMEMBERED = 1_000_000
+#: Bytes of the table of counted units that a worker keeps at most, and characters of a unit that enters it.
+REMEMBERED_BYTES, LONGEST = 48 << 20, 64
 
 
 class PieceCounter(dict):
@@ -34,6 +36,7 @@ class PieceCounter(dict):
         import sentencepiece
 
         super().__init__()
+        self.held = 0
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.normalize = model.normalize
         plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
@@ -52,9 +55,15 @@ class PieceCounter(dict):
         return 1 if char in self.rank or not self.fallback else len(char.encode())
 
     def __missing__(self, unit: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        n = self[unit] = self.merged(unit)
+        n = self.merged(unit)
+        if len(unit) <= LONGEST:
+            # A text object, its entry in the table and the free part of the table.
+            size = sys.getsizeof(unit) + 120
+            if self.held + size > REMEMBERED_BYTES:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[unit] = n
         return n
 
     def merged(self, unit: str) -> int:
