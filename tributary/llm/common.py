@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -51,17 +54,25 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset, as in tests on one machine, a temporary folder takes its place.
+    Where it is unset, a session on one machine gets a temporary folder; any other is an error, as its executors
+    would write to disks of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="corpus-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if context.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="corpus-")
+        atexit.register(shutil.rmtree, _own_dirs[context.applicationId], ignore_errors=True)
+    return _own_dirs[context.applicationId]
 
 
 def settle(df: DataFrame, name: str, compression: str = "uncompressed") -> DataFrame:
@@ -132,7 +143,35 @@ def split_by(docs: DataFrame, column: str, bits: DataFrame) -> tuple[DataFrame,
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Have Spark hand texts to Python at most so many at a time: some MB, instead of tens, a task."""
+    """Have Spark hand texts to Python at most so many at a time: some MB, instead of tens, a task.
+
+    A setting of the session, as plans read it when they run; what it was and is goes to the log.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+    was = spark.conf.get(key, "10000")
+    if not 0 < int(was) <= rows:
+        logging.getLogger(__name__).warning("%s: %s lowered to %d", key, was, rows)
         spark.conf.set(key, str(rows))
+
+
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type of a column, whatever it is."""
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame, spread: str, how: str = "inner", ways: int = 64) -> DataFrame:
+    """many.join(one, key, how) for a table `one` with a row a key, where some keys have very many rows in `many`.
+
+    hot: id_filter() of such keys. Their rows in `many` are dealt over `ways` tasks by the column `spread`, and their rows in
+    `one` come as often. Keys that only share a hash with a hot one are dealt alike on both sides, so nothing is lost.
+    """
+    bits = F.broadcast(hot)
+    h = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+    def flagged(df: DataFrame) -> DataFrame:
+        held = df.withColumn("_h", h).withColumn("_word", F.shiftright("_h", 6))
+        return held.join(bits, "_word", "left").withColumn("_may", F.expr("coalesce(getbit(_mask, cast(_h & 63 AS int)), 0) = 1")).drop("_h", "_word", "_mask")
+
+    left = flagged(many).withColumn("_salt", F.when(F.col("_may"), F.pmod(F.xxhash64(spread, F.lit(1)), F.lit(ways)).cast("int")).otherwise(0)).drop("_may")
+    right = flagged(one).withColumn("_salt", F.explode(F.when(F.col("_may"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0))))).drop("_may")
+    return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -28,8 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import SPACE_WORDS, batches, columns_of, discard, settle, small_batches, words_of
-from tributary.llm.near_dedup import id_kind, mixed
+from tributary.llm.common import SPACE_WORDS, arrow_type, batches, columns_of, discard, settle, small_batches, words_of
+from tributary.llm.near_dedup import mixed
 
 BATCH_BYTES = 10 << 20
 #: Entries of a segment of word counts, and bigrams of a segment of the filter, about.
@@ -166,7 +166,7 @@ def text_batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
+    kind, own_type = slim.schema["id"].dataType.simpleString(), arrow_type(slim, "id")
 
     def run(it):
         for rows in batches(((i, t) for i, t in columns_of(it, "id", "text")), lambda r: len(r[1] or b"") + 100, BATCH_BYTES):
@@ -180,7 +180,7 @@ def text_batches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             trained = np.bincount(tokens[~np.repeat(held, n)], minlength=len(hashes)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.frombuffer(np.random.default_rng().bytes(8), np.int64)), pa.array([[i for i, _ in rows]], pa.list_(id_kind(kind))), pa.array([held.tolist()], pa.list_(pa.bool_())),
+                    pa.array(np.frombuffer(np.random.default_rng().bytes(8), np.int64)), pa.array([[i for i, _ in rows]], pa.list_(own_type)), pa.array([held.tolist()], pa.list_(pa.bool_())),
                     pa.array([n.tolist()], pa.list_(pa.int32())), *[pa.array([x], pa.binary()) for x in (pack_tokens(tokens), hashes.tobytes(), trained.tobytes())],
                 ],
                 names=["batch", "ids", "held", "n", "tokens", "vocab", "trained"],

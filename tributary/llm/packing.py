@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import columns_of, small_batches
+from tributary.llm.common import arrow_type, columns_of, small_batches
 
 SCHEMA = "ids binary, positions binary, cu_seqlens array<int>, doc_ids array<{kind}>, doc_starts array<long>, n_tokens int"
 
@@ -99,7 +99,7 @@ def pack(
 
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
+    kind, own_type = slim.schema["id"].dataType.simpleString(), arrow_type(slim, "id")
     schema = SCHEMA.format(kind=kind)
 
     def shards(it):
@@ -129,18 +129,12 @@ def pack(
                         positions[a:b] = np.arange(b - a)
                     for to, x in zip(out, (ids.tobytes(), positions.tobytes(), cuts.tolist(), [p[0] for p in own], [p[1] for p in own], int(cuts[-1]))):
                         to.append(x)
-                kinds = [pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(id_type(kind)), pa.list_(pa.int64()), pa.int32()]
+                kinds = [pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(own_type), pa.list_(pa.int64()), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["ids", "positions", "cu_seqlens", "doc_ids", "doc_starts", "n_tokens"])
 
     return slim.mapInArrow(run, schema)
 
 
-def id_type(kind: str):
-    import pyarrow as pa
-
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def write_packed(packed: DataFrame, path: str) -> None:
     """The matrices as Parquet; a row of the file is a row of the matrix."""
     packed.write.mode("overwrite").parquet(path)
