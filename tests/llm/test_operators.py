@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tributary.llm import components, decontaminate, fixity, lm_score, mixing, near_dedup, packing, token_counts, top_k, toxicity, url_rules
-from tributary.llm.common import MARK_WORDS, words_of
+from tributary.llm.common import MARK_WORDS, settle, words_of
 from tributary.llm.queries import RULES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n int, id string, row string, size string, h string"
@@ -126,8 +126,8 @@ def plain_top(vectors, queries, k, scale=256):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [1024, 5])
-def test_top_k(spark, block):
+@pytest.mark.parametrize("options", [{}, {"block": 5, "stage_bytes": 1500}, {"seeds": 0, "pivots": 0}, {"seeds": 40, "pivots": 3}])
+def test_top_k(spark, options):
     r = random.Random(2)
     rows = [(i, [r.gauss(0, 1 + i % 3) for _ in range(8)]) for i in range(300)]
     rows += [(400 + i, list(rows[i][1])) for i in range(40)]  # ties
@@ -135,23 +135,52 @@ def test_top_k(spark, block):
     df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<float>, id string, score string")
     narrow = [(i, v and [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     asked = df.filter(F.col("vec_id") % 20 == 0)
-    got = sorted(tuple(x) for x in top_k.top_k(df.repartition(3), asked, k=5, pivots=6, block=block).collect())
+    got = sorted(tuple(x) for x in top_k.top_k(df.repartition(3), asked, k=5, **options).collect())
     assert got == plain_top(narrow, [x for x in narrow if x[0] is not None and x[0] % 20 == 0], 5)
 
 
+def test_top_k_of_huge_components(spark):
+    """Products beyond 64 bits are exact in the ranking; a score beyond a long is shown as the nearest."""
+    r = random.Random(7)
+    sizes = [1.0, 4e6, 1e9, 1e17, 1e200]
+    rows = [(i, [r.choice([-1, 1]) * r.random() * sizes[i % 5] for _ in range(4)]) for i in range(60)] + [(100, [1.7e308] * 4), (101, [1e-300] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in top_k.top_k(df, df.filter("vec_id % 5 < 4"), k=4).collect())
+    finite = [(i, v) for i, v in rows if all(math.isfinite(256 * x) for x in v)]
+    want = plain_top(finite, [x for x in finite if x[0] % 5 < 4], 4)
+    assert got == [(q, n, i, max(-(2**63), min(2**63 - 1, s))) for q, n, i, s in want]
+    assert any(abs(s) > 2**70 for *_, s in want)
+
+
 def test_top_k_prunes_and_stays_exact():
     """Clustered vectors: bounds spare most products, and nothing is lost."""
     r = np.random.default_rng(3)
     centres = r.normal(0, 400, (30, 16))
-    vectors = (centres[r.integers(0, 30, 4000)] + r.normal(0, 12, (4000, 16))).astype(np.int64)
-    queries, ids = vectors[:20], np.arange(4000)
-    best = top_k.Best(20, 5)
-    taken = sum(top_k.search_table(best, ids[:20], queries, ids[a : a + 1000], vectors[a : a + 1000], vectors[::130]) for a in range(0, 4000, 1000))
+    vectors = np.floor(centres[r.integers(0, 30, 4000)] + r.normal(0, 12, (4000, 16)))
+    queries, ids, pivots = vectors[:20], np.arange(4000), vectors[::130]
+    best, squares = top_k.Best([None] * 20, 5), top_k.squares_of(vectors)
+    table, to = top_k.distances(vectors, pivots), top_k.distances(queries, pivots)
+    reach = float(np.sqrt(top_k.squares_of(pivots).max()))
+    parts = [slice(a, a + 1000) for a in range(0, 4000, 1000)]
+    taken = sum(top_k.search_table(best, ids[:20], queries, to, ids[p], vectors[p], squares[p], table[p], reach) for p in parts)
     for q in range(20):
         scores = vectors @ queries[q]
         order = [i for i in np.lexsort((ids, -scores)) if i != q][:5]
-        assert best.ids[q].tolist() == order
+        assert [i for _, i in best.rows[q]] == order
     assert taken < 0.5 * 20 * 4000
+    floors = top_k.first_floors(ids[:20], queries, ids[500:900], vectors[500:900], 5)
+    assert all(f <= -best.rows[q][-1][0] for q, f in enumerate(floors))
+
+
+def test_top_k_scans_vectors_once_a_stage(spark, monkeypatch):
+    """The pivot table is made once, and each stage of queries reads it by one scan."""
+    made = []
+    monkeypatch.setattr(top_k, "settle", lambda df, name, *codec: made.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or settle(df, name, *codec))
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(200)], "vec_id long, embedding array<float>")
+    top_k.top_k(df, df, block=50, stage_bytes=2000).count()
+    names = [n for n, _ in made]
+    assert names[:2] == ["pivot_table", "queries"] and len(names) >= 3 and set(names[2:]) == {"stage_of_queries"}
+    assert all(p.count("Relation") == 1 and "Union" not in p for _, p in made[2:])
 
 
 def test_top_k_of_nothing(spark):
@@ -277,8 +306,8 @@ def altered(r, words, n):
     return words
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates(spark, seed, odd_rows):
+@pytest.mark.parametrize("seed, hot, crowd", [(1, 5000, 1000), (2, 5000, 1000), (1, 3, 1000), (2, 5, 4)])
+def test_near_duplicates(spark, seed, hot, crowd, odd_rows, monkeypatch):
     """Copies, chains of copies whose ends differ, a hub of many copies, a shared passage, very short texts."""
     r = random.Random(seed)
     passage = [f"p{i}" for i in range(60)]
@@ -293,7 +322,10 @@ def test_near_duplicates(spark, seed, odd_rows):
     rows += [(3000 + i, " ".join(altered(r, hub, 4 + i % 3)), "s") for i in range(60)] + [(3100, " ".join(hub), "s")]
     rows += [(4000 + i, " ".join(passage + [f"q{r.randrange(10**6)}" for _ in range(r.randrange(10, 90))]), "s") for i in range(60)]
     rows += [(5000 + i, t, "s") for i, t in enumerate(["a", "A", "a b", "a b c d", "a b c d e", "a b c d e f g h", "a b c d e f g h i", "a b c d e f g h i j"])]
-    got = sorted((tuple(x) for x in near_dedup.near_duplicates(docs_of(spark, rows).repartition(4)).collect()), key=repr)
+    rows.append((None, " ".join(altered(r, hub, 3)), "s"))  # without id, but near others that have one
+    rows += [(None, " ".join(f"alone{i}" for i in range(n)), "s") for n in (90, 91)]
+    monkeypatch.setattr(components, "HOT", hot)
+    got = sorted((tuple(x) for x in near_dedup.near_duplicates(docs_of(spark, rows).repartition(4), crowd=crowd).collect()), key=repr)
     assert got == plain_groups(rows)
 
 
@@ -301,8 +333,24 @@ def test_stars_alone_would_miss_links(spark):
     """A chain in one bucket: the ends are unlike the centre, whichever it is."""
     words = [f"c{i}" for i in range(100)]
     rows = [(i, " ".join(words[3 * i : 3 * i + 60]), "s") for i in range(10)]
-    got = near_dedup.near_duplicates(docs_of(spark, rows)).collect()
-    assert {x["component_id"] for x in got} == {0}
+    for crowd in (near_dedup.CROWD, 1):
+        got = near_dedup.near_duplicates(docs_of(spark, rows), crowd=crowd).collect()
+        assert {x["component_id"] for x in got} == {0}
+
+
+def test_ids_of_any_type(spark):
+    import datetime
+    import decimal
+
+    texts = ["a b c d e f g", "A B C D E F G", "other words of no copy at all"]
+    for kind, ids in (("string", ["x", "y", "z"]), ("decimal(20,0)", [decimal.Decimal(10**18 + i) for i in range(3)]), ("date", [datetime.date(2024, 1, 1 + i) for i in range(3)]), ("smallint", [1, 2, 3])):
+        df = spark.createDataFrame(list(zip(ids, texts)), f"doc_id {kind}, text string")
+        assert sorted(tuple(x) for x in near_dedup.near_duplicates(df).collect()) == [(ids[0], 3, ids[0], True), (ids[1], 3, ids[0], False), (ids[2], 3, ids[2], True)]
+        assert {x["doc_id"] for x in lm_score.lm_scores(df).collect()} == set(ids)
+        import public_tokenizers as P
+
+        packed = packing.pack(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, length=64).collect()
+        assert {i for x in packed for i in x["doc_ids"]} == set(ids)
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -332,8 +380,8 @@ def test_bins_estimate_similarity():
         assert abs(np.mean(equal)) < 0.03, (n, share)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+@pytest.mark.parametrize("seed, hot", [(0, None), (1, None), (2, None), (2, 5)])
+def test_components(spark, seed, hot):
     r = random.Random(seed)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(40)] + [(300, 300 + i) for i in range(1, 90)]
     parent = {}
@@ -348,10 +396,27 @@ def test_components(spark, seed):
         x, y = sorted((find(a), find(b)))
         parent[y] = x
     want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), hot=hot).collect()}
     assert got == want
 
 
+def test_hub_is_dealt_over_tasks(spark):
+    """Where a hub's least neighbour goes back to its edges, no task has much more rows than others."""
+    n = 40_000
+    edges = settle(spark.range(1, n).selectExpr("0L AS u", "id AS v"), "test_edges")
+    least = settle(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "test_least")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = components.meet(edges, least, "u", "v")
+        tasks = [r["count"] for r in met.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(tasks) == n - 1 and max(tasks) < 3 * n / 4 / 1.2 and len(tasks) == 4
+        assert met.filter("m = 1").count() == n - 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 # Mixing.
 
 
@@ -430,10 +495,22 @@ def test_token_counts(spark, odd_rows):
 
 
 def test_counts_survive_forgetting(monkeypatch):
-    monkeypatch.setattr(token_counts, "REMEMBERED", 3)
+    monkeypatch.setattr(token_counts, "REMEMBERED_BYTES", 600)
     own = token_counts.PieceCounter(tokenizer_path("piece_bpe_32k.model"))
     text = "one two three four five one two three four five"
-    assert own.count(text) == own.count(text) and len(own) <= 3
+    assert own.count(text) == own.count(text) and 0 < len(own) <= 3
+
+
+def test_texts_without_blanks_are_not_kept():
+    """A unit as long as a document is counted, but the table of units stays small."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    own, r = token_counts.PieceCounter(tokenizer_path("piece_bpe_32k.model")), random.Random(4)
+    for _ in range(20):
+        text = "".join(r.choice("日本語中文字漢abcXYZ019+/=") for _ in range(5000))
+        assert own.count(text) == len(model.encode(text))
+    assert own.held < 10_000 and sum(map(len, own)) < 1000
 
 
 # URL rules.
@@ -476,6 +553,19 @@ def test_url_rules_of_nothing(spark):
     assert tuple(url_rules.judge(one, url_rules.rules_frame(spark, [])).first()) == (1, "a.com", "/x", None, "allow")
 
 
+def test_url_rules_join_on_the_prefix_alone(spark, monkeypatch):
+    """The join's only key is the short prefix; with prefixes that collide, digests still confirm and copies still count."""
+    rows = [(i % 15, u) for i, u in enumerate(URLS * 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    plan = url_rules.judge(df, url_rules.rules_frame(spark, RULES))._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert len(joins) == 1 and re.search(r"Join \[_prefix#\d+\], \[rule_prefix#\d+\]", joins[0])
+    for digits in (0, 1):
+        monkeypatch.setattr(url_rules, "PREFIX_DIGITS", digits)
+        got = Counter(tuple(x) for x in url_rules.judge(df, url_rules.rules_frame(spark, RULES)).collect())
+        assert got == Counter((i, *plain_verdict(u, RULES)) for i, u in rows)
+
+
 def test_url_rules_run_no_python(spark):
     df = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
     plan = url_rules.judge(df, url_rules.rules_frame(spark, RULES))._jdf.queryExecution().executedPlan().toString()
