@@ -8,47 +8,50 @@ from pyspark.sql import functions as F
 from tributary.llm.common import discard, id_filter, salted_join, settle
 
 #: Rows of one key that a task of a join may get; more are dealt over tasks.
-HOT = 5000
+HOT = 1000
 
 
-def meet(many: DataFrame, one: DataFrame, key: str, spread: str, how: str = "inner", count: str = "c", hot: int | None = None) -> DataFrame:
-    """many.join(one, key), where the stored table `one` has a row a key, and in `count` how many rows of `many` have it.
+def hot_keys(counted: DataFrame, key: str, hot: int | None = None) -> DataFrame | None:
+    """A filter of the keys of a stored table that have more than `hot` rows, by its column c; None if there are none."""
+    crowded = counted.filter(F.col("c") > (HOT if hot is None else hot))
+    return id_filter(crowded, key) if crowded.limit(1).count() else None
 
-    Keys with more than `hot` rows are dealt over tasks by the column `spread`. Without such keys it is the plain join.
-    """
-    crowded, slim = one.filter(F.col(count) > (HOT if hot is None else hot)), one.drop(count)
-    if not crowded.limit(1).count():
-        return many.join(slim, key, how)
-    return salted_join(many, slim, key, settle(id_filter(crowded, key), "hot_keys"), spread, how)
+
+def meet(many: DataFrame, one: DataFrame, key: str, spread: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """many.join(one, key) for a table `one` with a row a key; rows of hot keys are dealt over tasks by the column `spread`."""
+    return many.join(one, key, how) if hot is None else salted_join(many, one, key, hot, spread, how)
 
 
 def components(edges: DataFrame, most_rounds: int = 60, hot: int | None = None) -> DataFrame:
-    """Rows (node, root) for all nodes of edges (a, b), of any ordered type: root is the least node that a node reaches.
+    """Rows (node, root) for all nodes of edges (a, b): root is the least node that a node reaches.
 
     Each round joins every node to the least of its neighbours; after a few, all edges lead to roots.
     Rounds are of the order of the logarithm of a component's size. Minima are combined before they are
     shuffled; where they go back to the edges, those of a node with very many neighbours are dealt over tasks.
     """
     now = settle(edges.filter("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    mark = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    most = HOT if hot is None else hot
+    limit, mark = HOT if hot is None else hot, None
     for _ in range(most_rounds):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
-        many = mark[0] > most  # else no node has so many neighbours
-        told = meet(both, settle(least, "least"), "u", "v", hot=most) if many else both.join(least.drop("c"), "u")
-        large = settle(told.filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large_star")
+        was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if was == mark:
+            break
+        crowded = None
+        if mark[0] > limit:  # else no node has so many neighbours
+            least = settle(least, "least")
+            crowded = hot_keys(least, "u", limit)
+        large = meet(both, least.drop("c"), "u", "v", crowded).filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = settle(large, "large_star")
         down = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("c"))
-        if many:
+        if crowded is not None:
             down = settle(down, "down")
-        small = meet(large, down, "hi", "lo", hot=most) if many else large.join(down.drop("c"), "hi")
+            crowded = hot_keys(down, "hi", limit)
+        small = meet(large, down.drop("c"), "hi", "lo", crowded)
         old, now = now, settle(
             small.filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(down.select("hi", F.col("m").alias("lo"))).distinct(), "small_star"
         )
         discard(old, large)
-        was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if was == mark:
-            break
     else:
         raise RuntimeError("components: no end after the allowed rounds")
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root"))).distinct()

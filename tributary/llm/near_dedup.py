@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import SPACE_WORDS, arrow_type, batches, columns_of, discard, id_filter, settle, small_batches, split_by, words_of
-from tributary.llm.components import components, meet
+from tributary.llm.components import components, hot_keys, meet
 
 BINS, BAND = 128, 4
 #: Words whose hashes a worker remembers at most, and bytes of such a word.
@@ -197,9 +197,9 @@ def rare_first(members: DataFrame, docs: DataFrame, threshold: int, words: int,
     """Pairs (a, b) of members (node, n, root, row_hash) of different roots that share a shingle of their prefixes, and may be similar."""
     sets = settle(full_sets(members, docs, words, id_col, text_col).join(members.select("node", "n", "root"), "node"), "crowded_sets")
     rows = sets.select("node", "n", "root", F.explode("sh").alias("s"))
-    often = settle(rows.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").withColumn("f", F.col("c")), "shingles")
+    often = settle(rows.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"), "shingles")
     # A shingle that no other set has stands first in the order, but meets nothing: only its place counts.
-    own = meet(rows, often, "s", "node").groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("order"))
+    own = meet(rows, often.withColumnRenamed("c", "f"), "s", "node", hot_keys(often, "s")).groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("order"))
     least = F.ceil(F.col("n") * threshold / 100)
     before = F.col("n") - F.size("order")
     prefix = F.slice("order", F.lit(1), F.greatest(F.lit(0).cast("long"), F.col("n") - least + 1 - before).cast("int"))
@@ -225,51 +225,44 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, words: int = 5, id_col
     discard(full)
 
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = settle(members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").withColumn("m", F.col("c")), "buckets")
-    placed = settle(meet(members, shared, "key", "node"), "placed")
+    shared = settle(members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "buckets")
+    full_buckets = hot_keys(shared, "key")
+    placed = settle(meet(members, shared.withColumnRenamed("c", "m"), "key", "node", full_buckets), "placed")
     met = placed.groupBy("node").agg(F.sum("m").alias("met"))
-    centres = placed.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("x"), F.count("*").alias("c"))
-    centres = settle(centres.select("key", "c", F.col("x.node").alias("centre"), F.col("x.n").alias("n2")), "centres")
+    centres = placed.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("x")).select("key", F.col("x.node").alias("centre"), F.col("x.n").alias("n2"))
     possible = F.least("n", "n2") * 100 >= threshold * F.greatest("n", "n2")
-    stars = meet(placed, centres, "key", "node").filter(F.col("node") != F.col("centre")).filter(possible)
+    stars = meet(placed, centres, "key", "node", full_buckets).filter(F.col("node") != F.col("centre")).filter(possible)
     stars = settle(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "stars")
     links = confirmed(stars, nodes, docs, threshold, words, id_col, text_col)
-    named = settle(nodes.select("node", F.struct(F.col("id").isNull().alias("none"), "id", "node").alias("name")), "names")
-
-    def rooted_nodes(links: DataFrame) -> DataFrame:
-        """(node, root) of linked nodes; root: the name of least id, those without id last, that a node reaches."""
-        by_name = links.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        found = components(by_name)
-        return settle(found.select(F.col("node.node").alias("node"), "root"), "roots")
-
-    roots = rooted_nodes(links)
+    roots = settle(components(links), "roots")
 
     # What the stars leave: buckets with members of several components.
-    rooted = placed.select("key", "node", "n", "m").join(roots.select("node", F.col("root.node").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).filter("x != y").select("key", "c")
-    left = settle(meet(rooted, settle(several, "several"), "key", "node", "left_semi"), "left")
-    one = left.filter(F.col("m") <= crowd).drop("m").join(nodes.select("node", "odd"), "node").select("key", "node", "n", "root", *words_of_sketch("odd"))
-    one = settle(one, "compared")
+    rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
+    left = meet(rooted, several, "key", "node", full_buckets, "left_semi").join(nodes.select("node", "odd"), "node")
+    left = settle(left.select("key", "node", "n", "m", "root", *words_of_sketch("odd")), "left")
+    one = left.filter(F.col("m") <= crowd).drop("m").withColumnsRenamed({"node": "a", "root": "ra"})
     two = one.toDF("key2", "b", "n2", "rb", *[f"{c}_2" for c in SKETCH_COLUMNS])
-    one = one.withColumnsRenamed({"node": "a", "root": "ra"})
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in SKETCH_COLUMNS[1:]), F.bit_count(F.col(SKETCH_COLUMNS[0]).bitwiseXOR(F.col(f"{SKETCH_COLUMNS[0]}_2"))))
     # Of sets with n and n2 elements that are similar enough, at most this share differs.
     near = (100 + threshold) * apart <= (100 - threshold) * (F.col("n") + F.col("n2"))
     across = one.join(two, (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & possible & near)
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crowded = left.filter(F.col("m") > crowd).select("node", "n", "root").distinct()
+    crowded = left.filter(F.col("m") > crowd).select("node", "n", "root")
     if crowded.limit(1).count():
-        crowded = settle(crowded.join(nodes.select("node", "row_hash"), "node"), "crowded")
+        crowded = settle(crowded.distinct().join(nodes.select("node", "row_hash"), "node"), "crowded")
         across = across.unionByName(rare_first(crowded, docs, threshold, words, id_col, text_col)).distinct()
     tried = settle(across.join(stars, ["a", "b"], "left_anti"), "across")
     if tried.limit(1).count():
         more = confirmed(tried, nodes, docs, threshold, words, id_col, text_col)
         if more.limit(1).count():
-            roots = rooted_nodes(links.unionByName(more))
+            roots = settle(components(links.unionByName(more)), "all_roots")
 
     discard(placed, stars, left, tried)
-    known = nodes.select("node", "id", "c").join(roots, "node", "left").select("node", "c", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("root.id")).alias("component_id"))
-    out = meet(own, settle(known, "known"), "node", "_row", "left")
+    rooted = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = settle(rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("c")), "least")
+    known = meet(rooted, least.drop("c"), "root", "node", hot_keys(least, "root")).select("node", "component_id")
+    out = meet(own, known, "node", "_row", hot_keys(nodes, "node"), "left")
     whole = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), whole.alias("component_id"), whole.eqNullSafe(F.col("id")).alias("kept"), *(["text_hash"] if by_text else []))
 
