@@ -632,6 +632,41 @@ def test_warc_round_trip(spark, tmp_path, compress):
     assert [r["offset"] + r["length"] for r in rows[:-1]] == [r["offset"] for r in rows[1:]]
 
 
+@pytest.mark.parametrize("compress", [True, False])
+@pytest.mark.parametrize("seed", range(6))
+def test_damaged_files_lose_nothing(compress, seed):
+    """Flipped bits, cut ends and alien bytes: all bytes of a file are in some row, records away from the damage keep their place."""
+    r = random.Random(seed)
+    own = [("http://a/%d" % i, bytes(r.randbytes(r.randrange(2000)))) for i in range(20)]
+    data = fixity.write_warc(own, compress)
+    sound = {x[0]: x for x in fixity.parse_warc(data)}
+    assert len(sound) == 20 and all(x[5] for x in sound.values())
+    bad = bytearray(data)
+    at = r.randrange(len(bad))
+    if seed % 3 == 0:
+        bad[at] ^= 1 << r.randrange(8)
+    elif seed % 3 == 1:
+        bad = bad[:at]
+    else:
+        bad[at : at + 40] = b"?" * 40
+    rows = fixity.parse_warc(bytes(bad))
+    assert sum(x[1] for x in rows) == len(bad) and [x[0] + x[1] for x in rows[:-1]] == [x[0] for x in rows[1:]]
+    for x in sound.values():
+        if x[0] + x[1] <= at or (seed % 3 != 1 and x[0] > at + 40):
+            assert x in rows
+
+
+def test_bad_headers(spark, tmp_path):
+    good = fixity.write_warc([("http://x", b"body")], False)
+    parts = [good, good.replace(b"Length: 4", b"Length: x"), good, good.replace(b"WARC/1.1", b"WARC 1.1"), good, b"no record at all", b""]
+    rows = fixity.parse_warc(b"".join(parts))
+    assert [x[5] for x in rows] == [True, False, True, False, True, False]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "b.warc").write_bytes(b"")
+    got = sorted(((r["offset"], r["sound"]) for r in fixity.read_warc(spark, str(tmp_path)).collect()))
+    assert got == [(x[0], x[5]) for x in rows]
+
+
 # Packing.
 
 

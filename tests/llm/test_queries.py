@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import database, differences
 from tributary.llm import queries
@@ -28,9 +31,27 @@ def test_runs(spark, name):
         assert found.count() >= 0
 
 
-def test_fixity_finds_the_damage(spark):
-    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
-    bad = queries.damaged(pages)
-    want = pages.exceptAll(bad).select("page_id").union(bad.exceptAll(pages).select("page_id")).distinct()
-    got = queries.op8_warc_fixity(spark, SF)
-    assert sorted(r["position"] for r in got.collect()) == sorted(r["page_id"] for r in want.collect())
+def test_fixity_finds_the_damage(spark, monkeypatch):
+    """Many small archives, with copies over several of them: what the replica's bytes differ in is found, and nothing else."""
+    from tributary.llm import fixity
+
+    monkeypatch.setattr(fixity.write_archives, "__defaults__", (20_000,))
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select(fixity.record_text(F.col("url"), F.col("html")).alias("r"))
+    copies = pages.limit(1).crossJoin(spark.range(300)).select("r")
+    path = fixity.write_archives(pages.unionByName(copies))
+    files = {p.parent.name.split("=")[1]: p.read_bytes() for p in Path(path).glob("archive=*/part-*")}
+    assert len(files) > 20 and all(len(d) > 0 for d in files.values())
+    written = Counter(x[4] for d in files.values() for x in fixity.parse_warc(d))
+    assert written == Counter(r["html"].encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()) + Counter({copies.first()["r"].split("\r\n\r\n", 1)[1].encode(): 300})
+    assert all(fixity.parse_warc(d)[-1][0] < 20_000 for d in files.values())
+    got = {(r["archive"], r["position"]): r["status"] for r in fixity.audit(
+        fixity.fixity_manifest(fixity.read_warc(spark, path)), fixity.fixity_manifest(fixity.read_warc(spark, path, change=queries.damaged))).collect()}
+    want = {}
+    for name, data in files.items():
+        bad = queries.damaged(name, data)
+        for o, n, *_ in fixity.parse_warc(data):
+            if data[o : o + n] != bad[o : o + n]:
+                want[name, o] = "damaged" if bad[o] != data[o] or len(bad) < o + n else "changed"
+        if len(bad) > len(data):
+            want[name, len(data)] = "extra"
+    assert got == want and {"damaged", "extra"} <= set(want.values())

@@ -114,11 +114,14 @@ def columns_of(it, *names: str) -> Iterator[tuple]:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that settle() wrote and that nothing will read again."""
     for df in tables:
-        path = getattr(df, "_settled", None)
-        if path:
-            context = df.sparkSession.sparkContext
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        if path := getattr(df, "_settled", None):
+            discard_path(df.sparkSession, path)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 FILTER_BITS = 1 << 24

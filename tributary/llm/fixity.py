@@ -1,57 +1,104 @@
 """WARC fixity: Merkle trees over records in archive order, compared between replicas.
 
-A manifest has a row a record: archive, position (its offset, or another place that orders records), length and digest
-(SHA-256 of the record's bytes). Trees are built bottom up: leaf nodes are ranges of 16 positions, each further
-node a range of 16 nodes, up to a root an archive and one root over all archives. The audit compares roots, then
-descends level by level into children of mismatching nodes only, and last compares the records
-of mismatching leaf ranges.
+A manifest has a row a record: archive, position (its byte offset), length, digest (SHA-256 of the record's bytes as they are
+stored) and whether it could be read. Trees are built bottom up: leaf nodes are ranges of 64 KB of offsets, whose digest is
+the SHA-256 of their records in the order of offsets; each further node is a range of 16 nodes, up to a root an archive and
+one root over all archives. The audit compares roots, then descends level by level into children of
+mismatching nodes only, and last compares the records of mismatching leaf ranges.
 
-Building sums over groups: at the leaf level records of a range are combined by adding hashes of (position, length,
-digest), in four 64-bit lanes and modulo 2**64, before the shuffle; so a position that many records claim (or a null one) is
-no single task's load, and neither order nor partitions matter. Further up a node has 16 children at most, and
-its digest is the SHA-256 of their names and digests in order.
+Equal records of one offset are counted before anything is shuffled, and unlike records that claim one offset (which only a
+bad manifest has) are combined by adding their hashes, so no number of them is one task's load. A range holds at most 65,536
+offsets.
+
+Reading: a file's records follow each other by their stated lengths. Bytes that can't be read as a record (a bad first line
+or length, a bad gzip member, an end before the record's) are a row of their own, marked unsound, up to where the next
+record begins; so nothing of a file is left out, and what is behind the damage keeps its offset. A file is read
+by one task, whole.
 
 Defined results: a null position counts as -1 and a null archive as the empty string. Repeated rows count by number: a record
 present twice in one replica and once in the other is reported. An empty replica has no root and all
-records of the other are missing from it.
+records of the other are missing from it. An empty file has no rows.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import uuid
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tributary.llm.common import settle
+from tributary.llm.common import settle, shared_dir, small_batches
 
-FAN_BITS = 4
+FAN_BITS, LEAF_BITS = 4, 16
+#: Bytes of an archive, about: the record that goes beyond is its last.
+ARCHIVE_BYTES = 16 << 20
+#: What ends a record.
+END = "\r\n\r\n"
 
 
-def record_bytes(url: Column, body: Column) -> Column:
-    """A WARC/1.1 resource record with the headers that its fixity covers."""
+def record_text(url: Column, body: Column) -> Column:
+    """A WARC/1.1 resource record, with the headers that its fixity covers, but for END."""
     payload = F.coalesce(body.cast("string"), F.lit(""))
     return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"), payload, F.lit("\r\n\r\n")
-    ).cast("binary")
+        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit(END), payload
+    )
+
+
+def write_archives(records: DataFrame, size: int = ARCHIVE_BYTES) -> str:
+    """Write records (one text column, without END) as WARC files of about `size` bytes; returns the folder, with one file in archive=<name>.
+
+    Records come in the order of their digests: archives are named by bucket and part, buckets being ranges of digests, of about
+    `size` bytes where digests are even. Equal records become one row before the shuffle, with their number, and are
+    spread again where they are written, so a group of copies of any size is dealt over archives like other records.
+    """
+    text, end = records.columns[0], len(END)
+    hashed = records.select(F.col(text).alias("r"), F.sha2(F.col(text).cast("binary"), 256).alias("digest"), (F.octet_length(text) + end).cast("long").alias("len"))
+    total = int(hashed.agg(F.sum("len")).first()[0] or 0)
+    bits = next(b for b in range(21) if size << b >= total or b == 20)
+    bucket = F.shiftright(F.conv(F.substring("digest", 1, 5), 16, 10).cast("int"), 20 - bits)
+    runs = hashed.groupBy(bucket.alias("bucket"), "digest").agg(F.first("r").alias("r"), F.first("len").alias("len"), F.count("*").alias("n"))
+    before = W.partitionBy("bucket").orderBy("digest").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("start", F.coalesce(F.sum(F.col("len") * F.col("n")).over(before), F.lit(0)))
+    # A record belongs to the part of its bucket in which it begins; a run of copies may begin in many.
+    div = lambda a, b: F.call_function("div", a, b)
+    parts = runs.withColumn("part", F.explode(F.sequence(div(F.col("start"), F.lit(size)), div(F.col("start") + (F.col("n") - 1) * F.col("len"), F.lit(size)))))
+    first_at = lambda place: F.greatest(F.lit(0).cast("long"), div(place - F.col("start") + F.col("len") - 1, F.col("len")))
+    parts = parts.withColumn("low", first_at(F.col("part") * size)).withColumn("high", F.least(F.col("n"), first_at((F.col("part") + 1) * size)) - 1).filter("low <= high")
+    name = F.concat(F.lpad(F.col("bucket").cast("string"), 7, "0"), F.lit("-"), F.col("part").cast("string"))
+    parts = parts.select(name.alias("archive"), "start", "len", "low", "high", "r")
+    spread = parts.repartition("archive").withColumn("i", F.explode(F.sequence("low", "high")))
+    spread = spread.select("archive", (F.col("start") + F.col("i") * F.col("len")).alias("at"), "r")
+    path = f"{shared_dir(records.sparkSession).rstrip('/')}/tables/warc-{uuid.uuid4().hex}"
+    spread.sortWithinPartitions("archive", "at").select("archive", "r").write.partitionBy("archive").option("lineSep", END).text(path)
+    return path
 
 
 def manifest(records: DataFrame, archive: Column, position: Column, record: Column) -> DataFrame:
-    """(archive, position, length, digest, copies): each record hashed once, equal rows counted."""
-    rows = records.select(F.coalesce(archive.cast("string"), F.lit("")).alias("archive"), F.coalesce(position.cast("long"), F.lit(-1)).alias("position"), record.alias("_r"))
-    rows = rows.select("archive", "position", F.length("_r").cast("long").alias("length"), F.sha2("_r", 256).alias("digest"))
-    return rows.groupBy("archive", "position", "length", "digest").agg(F.count("*").alias("copies"))
+    """(archive, position, length, digest, sound, copies): each record hashed once, equal rows counted."""
+    rows = records.select(archive.alias("archive"), position.alias("position"), record.alias("_r"))
+    return counted(rows.select("archive", "position", F.length("_r").cast("long").alias("length"), F.sha2("_r", 256).alias("digest"), F.lit(True).alias("sound")))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """A manifest of rows (archive, position, length, digest, sound)."""
+    keys = [F.coalesce(F.col("archive").cast("string"), F.lit("")).alias("archive"), F.coalesce(F.col("position").cast("long"), F.lit(-1)).alias("position")]
+    return rows.select(*keys, "length", "digest", "sound").groupBy("archive", "position", "length", "digest", "sound").agg(F.count("*").alias("copies"))
 
 
 def leaves(records: DataFrame) -> DataFrame:
-    """Level 1: (archive, node, digest, n)."""
-    mark = F.sha2(F.concat_ws("|", "position", "length", "digest", "copies"), 256)
+    """Level 1: (archive, node, digest, n), the digest over a range's records in the order of their offsets."""
+    mark = F.sha2(F.concat_ws("|", "position", "length", "digest", F.col("sound").cast("string"), "copies"), 256)
     lanes = [F.conv(F.substring(mark, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
-    sums = records.groupBy("archive", F.shiftright("position", FAN_BITS).alias("node")).agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(lanes)], F.sum("copies").alias("n"))
-    folded = F.concat_ws("|", *[(F.col(f"s{i}") % F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("string") for i in range(4)], F.col("n").cast("string"))
-    return sums.select("archive", "node", F.sha2(folded, 256).alias("digest"), "n")
+    at = records.groupBy("archive", F.shiftright("position", LEAF_BITS).alias("node"), "position").agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(lanes)], F.sum("copies").alias("n"))
+    own = F.concat_ws("|", "position", *[(F.col(f"s{i}") % F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("string") for i in range(4)], F.col("n").cast("string"))
+    ranges = at.select("archive", "node", "position", "n", own.alias("own")).groupBy("archive", "node").agg(F.array_sort(F.collect_list(F.struct("position", "own"))).alias("_c"), F.sum("n").alias("n"))
+    return ranges.select("archive", "node", F.sha2(F.array_join(F.transform("_c", lambda x: x["own"]), ",").cast("binary"), 256).alias("digest"), "n")
 
 
 def parents(nodes: DataFrame) -> DataFrame:
@@ -66,7 +113,7 @@ def tree(records: DataFrame) -> list[DataFrame]:
     """Levels from leaves to archive roots (nodes 0 and, for negative positions, -1), each a small table."""
     most = records.agg(F.max(F.when(F.col("position") >= 0, F.col("position")).otherwise(-F.col("position")))).first()[0] or 0
     levels = [settle(leaves(records), "merkle")]
-    for _ in range(max(0, -(-(int(most).bit_length() - FAN_BITS) // FAN_BITS))):
+    for _ in range(max(0, -(-(int(most).bit_length() - LEAF_BITS) // FAN_BITS))):
         levels.append(settle(parents(levels[-1]), "merkle"))
     return levels
 
@@ -87,10 +134,10 @@ def differing(one: DataFrame, two: DataFrame) -> DataFrame:
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """Rows (archive, position, status, length, digest, replica_length, replica_digest) of records that differ.
 
-    status: changed (both have a record there, another one), missing or extra in the replica, or
-    conflict where several records claim a position. primary and replica are manifests.
+    status: changed (both have a record there, another one), damaged (the replica's bytes there are no record), missing or
+    extra in the replica, or conflict where several records claim a position. primary and replica are manifests.
     """
-    a, b = settle(primary, "manifest"), settle(replica, "manifest")
+    a, b = (m if hasattr(m, "_settled") else settle(m, "manifest") for m in (primary, replica))
     one, two = tree(a), tree(b)
     while len(one) < len(two):
         one.append(settle(parents(one[-1]), "merkle"))
@@ -106,65 +153,126 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
             below = lambda level: level.withColumn("_up", F.shiftright("node", FAN_BITS)).join(at, ["archive", "_up"], "left_semi").drop("_up")  # noqa: B023, E731
             suspects = differing(below(x), below(y))
     at = settle(suspects.toDF("archive", "_leaf"), "mismatch")
-    within = lambda rows: rows.withColumn("_leaf", F.shiftright("position", FAN_BITS)).join(at, ["archive", "_leaf"], "left_semi").drop("_leaf")
+    within = lambda rows: rows.withColumn("_leaf", F.shiftright("position", LEAF_BITS)).join(at, ["archive", "_leaf"], "left_semi").drop("_leaf")
     both = within(a).withColumn("own", F.lit(1)).unionByName(within(b).withColumn("own", F.lit(-1)))
-    odd = both.groupBy("archive", "position", "length", "digest").agg(F.sum(F.col("copies") * F.col("own")).alias("over")).filter("over != 0")
+    odd = both.groupBy("archive", "position", "length", "digest", "sound").agg(F.sum(F.col("copies") * F.col("own")).alias("over")).filter("over != 0")
     ours, theirs = F.col("over") > 0, F.col("over") < 0
     # One row a place; where several records claim it, their number tells, and none is gathered.
     per = odd.groupBy("archive", "position").agg(
         F.sum(F.when(ours, F.col("over"))).alias("na"), F.sum(F.when(theirs, -F.col("over"))).alias("nb"),
-        F.min(F.when(ours, F.struct("digest", "length"))).alias("x"), F.min(F.when(theirs, F.struct("digest", "length"))).alias("y"),
+        F.min(F.when(ours, F.struct("digest", "length"))).alias("x"), F.min(F.when(theirs, F.struct("digest", "length", "sound"))).alias("y"),
     )
     many = (F.coalesce("na", F.lit(0)) > 1) | (F.coalesce("nb", F.lit(0)) > 1)
-    status = F.when(many, "conflict").when(F.col("nb").isNull(), "missing").when(F.col("na").isNull(), "extra").otherwise("changed")
+    status = F.when(many, "conflict").when(F.col("nb").isNull(), "missing").when(~F.col("y.sound"), "damaged").when(F.col("na").isNull(), "extra").otherwise("changed")
     return per.select("archive", "position", status.alias("status"), F.col("x.length").alias("length"), F.col("x.digest").alias("digest"), F.col("y.length").alias("replica_length"), F.col("y.digest").alias("replica_digest"))
 
 
-def parse_warc(data: bytes) -> list[tuple[int, int, str, str, bytes]]:
-    """(offset, length, type, target, payload) of the records of a WARC file, plain or of gzip members.
-
-    For gzip files offset and length are of the member, as archives index them.
+def inflated(data: bytes, at: int, most: int | None = None) -> tuple[bytes, int] | None:
+    """A gzip member's content and its size in the file; None if it is bad or cut off. most: only so many bytes of content, size 0."""
+    inflater, parts, to = zlib.decompressobj(wbits=31), [], at
+    try:
+        if most:
+            return inflater.decompress(data[at : at + 4096], most), 0
+        while not inflater.eof and to < len(data):
+            parts.append(inflater.decompress(data[to : to + 65536]))
+            to += 65536
+    except zlib.error:
+        return None
+    return (b"".join(parts), min(to, len(data)) - at - len(inflater.unused_data)) if inflater.eof else None
+
+
+def next_record(data: bytes, at: int) -> int:
+    """The first place after `at` where a record seems to begin, or the end."""
+    plain = data.find(END.encode() + b"WARC/", at)
+    plain = plain + len(END) if plain >= 0 else len(data)
+    member = data.find(b"\x1f\x8b\x08", at + 1, plain)
+    while member >= 0:
+        got = inflated(data, member, 64)
+        if got and got[0].startswith(b"WARC/"):
+            return member
+        member = data.find(b"\x1f\x8b\x08", member + 1, plain)
+    return plain
+
+
+def parse_record(data: bytes, at: int) -> tuple[int, str, str, bytes] | None:
+    """(length in the file, type, target, payload) of the record that begins here, or None if there is none that is whole."""
+    member = None
+    if data[at : at + 2] == b"\x1f\x8b":
+        if (member := inflated(data, at)) is None:
+            return None
+        record, begin = member[0], 0
+    else:
+        record, begin = data, at
+    if record[begin : begin + 5] != b"WARC/":
+        return None
+    close = record.find(END.encode(), begin)
+    if close < 0:
+        return None
+    fields = dict(x.split(b":", 1) for x in record[begin:close].split(b"\r\n")[1:] if b":" in x)
+    fields = {k.strip().lower(): v.strip() for k, v in fields.items()}
+    n = fields.get(b"content-length", b"")
+    if not n.isdigit() or len(n) > 18:
+        return None
+    body = close + len(END)
+    if record[body + int(n) : body + int(n) + len(END)] != END.encode():
+        return None
+    text = lambda k: fields.get(k, b"").decode("utf-8", "replace")
+    return member[1] if member else body + int(n) + len(END) - at, text(b"warc-type"), text(b"warc-target-uri"), record[body : body + int(n)]
+
+
+def parse_warc(data: bytes) -> list[tuple[int, int, str, str, bytes, bool]]:
+    """(offset, length, type, target, payload, sound) of all parts of a WARC file, plain or of gzip members.
+
+    For gzip files offset and length are of the member, as archives index them. Bytes that are no record have sound false, an
+    empty payload, and go up to the next record or the end of the file.
     """
     out, at = [], 0
     while at < len(data):
-        if data[at : at + 2] == b"\x1f\x8b":
-            inflater, parts, to = zlib.decompressobj(wbits=31), [], at
-            while not inflater.eof and to < len(data):
-                parts.append(inflater.decompress(data[to : to + 65536]))
-                to += 65536
-            record, size = b"".join(parts), min(to, len(data)) - at - len(inflater.unused_data)
+        found = parse_record(data, at)
+        if found:
+            out.append((at, *found, True))
+            at += found[0]
         else:
-            close = data.find(b"\r\n\r\n", at)
-            record, size = data[at : close + 4] if close >= 0 else b"", 0
-        head, found, rest = record.partition(b"\r\n\r\n")
-        if not found:
-            break
-        fields = dict(x.split(b":", 1) for x in head.split(b"\r\n")[1:] if b":" in x)
-        fields = {k.strip().lower(): v.strip() for k, v in fields.items()}
-        n = int(fields.get(b"content-length", b"0"))
-        if not size:
-            size, rest = len(head) + 4 + n + 4, data[at + len(head) + 4 : at + len(head) + 4 + n]
-        out.append((at, size, fields.get(b"warc-type", b"").decode(), fields.get(b"warc-target-uri", b"").decode(), rest[:n]))
-        at += size
+            to = next_record(data, at)
+            out.append((at, to - at, "", "", b"", False))
+            at = to
     return out
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, offset, length, type, target, payload) of all records of WARC files; a file is one task's work."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+WARC = "archive string, offset long, length long, type string, target string, payload binary, sound boolean, digest string"
+
+
+def read_warc(spark: SparkSession, path: str, payloads: bool = True, change: Callable[[str, bytes], bytes] | None = None) -> DataFrame:
+    """(archive, offset, length, type, target, payload, sound, digest) of all parts of the WARC files of a folder and those below it.
+
+    archive: the path, or after a folder archive=<name> that name. digest: SHA-256 of the part's bytes in the file. payloads:
+    false leaves them null. change: what has happened to a file's bytes (to try out an audit).
+    """
+    small_batches(spark, 16)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    named = F.coalesce(F.nullif(F.regexp_extract("path", "/archive=([^/]+)/", 1), F.lit("")), F.col("path"))
+    files = files.select(named.alias("archive"), "content").filter("length(content) > 0")
 
     def run(it):
         import pyarrow as pa
 
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.bool_(), pa.string()]
+        names = ["archive", "offset", "length", "type", "target", "payload", "sound", "digest"]
         for batch in it:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            for i in range(batch.num_rows):
+                name, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                data = change(name, data) if change else data
                 rows = parse_warc(data)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(rows), pa.string()), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()))]],
-                    names=["archive", "offset", "length", "type", "target", "payload"],
-                )
+                for at in range(0, len(rows), 1000):
+                    part = [(name, o, n, kind, target, payload if payloads else None, sound, hashlib.sha256(data[o : o + n]).hexdigest()) for o, n, kind, target, payload, sound in rows[at : at + 1000]]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], t) for c, t in enumerate(kinds)], names=names)
+
+    return files.mapInArrow(run, WARC)
+
 
-    return files.mapInArrow(run, "archive string, offset long, length long, type string, target string, payload binary")
+def fixity_manifest(files: DataFrame) -> DataFrame:
+    """The manifest of what read_warc() gives."""
+    return counted(files.select("archive", F.col("offset").alias("position"), "length", "digest", "sound"))
 
 
 def write_warc(records: list[tuple[str, bytes]], compress: bool = True) -> bytes:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import decontaminate, fixity, lm_score, mixing, near_dedup, packing, token_counts, top_k, toxicity, url_rules
-from tributary.llm.common import table
+from tributary.llm.common import discard_path, settle, table
 
 CATEGORIES = ("quality", "toxic")
 RULES = [
@@ -56,18 +57,35 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark, RULES))
 
 
-def damaged(pages: DataFrame) -> DataFrame:
-    """A replica with bad copies: some records altered, some lost, some added. The audit reads all of both."""
-    k = mixing.hash60(F.col("page_id").cast("string")) % 97
-    html = F.when(k == 3, F.concat(F.lit("~"), F.substr("html", F.lit(2)))).otherwise(F.col("html"))
-    extra = pages.filter(k == 7).select((-2 - F.col("page_id")).alias("page_id"), "url", "html")
-    return pages.filter(F.coalesce(k != 5, F.lit(True))).select("page_id", "url", html.alias("html")).unionByName(extra)
+EXTRA = fixity.write_warc([("urn:extra", b"a record that the first copy doesn't have")], compress=False)
+
+
+def number(text: str) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
+def damaged(archive: str, data: bytes) -> bytes:
+    """What has happened to a replica's archive: bits flipped within some records and in the first line of others, and a cut end or one more record."""
+    out, before = bytearray(data), -1
+    for offset, *_ in fixity.parse_warc(data):
+        k = number(f"{archive}|{offset}") % 97
+        if k == 3:
+            out[offset + 21] ^= 0x20  # in the type's name
+        elif k == 5 and before != 5:
+            out[offset] ^= 0x20
+        before = k
+    end = number(archive) % 3
+    return bytes(out[:-6]) if end == 0 else bytes(out) + EXTRA if end == 1 else bytes(out)
 
 
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    made = lambda p: fixity.manifest(p, F.lit("pages"), F.col("page_id"), fixity.record_bytes(F.col("url"), F.col("html")))
-    return fixity.audit(made(pages), made(damaged(pages)))
+    """All pages as WARC files, read back as they were written and as a damaged replica, by offsets."""
+    pages = table(spark, sf_dir, "pages")
+    path = fixity.write_archives(pages.select(fixity.record_text(F.col("url"), F.col("html")).alias("record")))
+    own = settle(fixity.fixity_manifest(fixity.read_warc(spark, path, payloads=False)), "manifest")
+    replica = settle(fixity.fixity_manifest(fixity.read_warc(spark, path, payloads=False, change=damaged)), "manifest")
+    discard_path(spark, path)
+    return fixity.audit(own, replica)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,18 +177,27 @@ m AS (
 SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM u LEFT JOIN m ON m.page_id = u.page_id AND m.k = 1
 """
 
-RECORD_SQL = "E'WARC/1.1\\r\\nWARC-Type: resource\\r\\nWARC-Target-URI: ' || coalesce(url, '') || E'\\r\\nContent-Length: ' || strlen(coalesce({0}, '')) || E'\\r\\n\\r\\n' || coalesce({0}, '') || E'\\r\\n\\r\\n'"
-BAD_SQL = "CASE WHEN k = 3 THEN '~' || substr(html, 2) ELSE html END"
+RECORD_SQL = "E'WARC/1.1\\r\\nWARC-Type: resource\\r\\nWARC-Target-URI: ' || coalesce(url, '') || E'\\r\\nContent-Length: ' || strlen(coalesce(html, '')) || E'\\r\\n\\r\\n' || coalesce(html, '') || E'\\r\\n\\r\\n'"
+HASH_SQL = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
 
 OP8_SQL = f"""
-WITH p AS (SELECT *, CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 15) AS BIGINT) % 97 AS k FROM pages),
-a AS (SELECT page_id AS position, {RECORD_SQL.format('html')} AS r FROM p),
-b AS (
-  SELECT page_id AS position, {RECORD_SQL.format(BAD_SQL)} AS r FROM p WHERE k <> 5
-  UNION ALL SELECT -2 - page_id, {RECORD_SQL.format('html')} FROM p WHERE k = 7)
-SELECT 'pages' AS archive, position, CASE WHEN b.r IS NULL THEN 'missing' WHEN a.r IS NULL THEN 'extra' ELSE 'changed' END AS status,
-  CAST(strlen(a.r) AS BIGINT) AS length, sha256(a.r) AS digest, CAST(strlen(b.r) AS BIGINT) AS replica_length, sha256(b.r) AS replica_digest
-FROM a FULL JOIN b USING (position) WHERE a.r IS DISTINCT FROM b.r
+WITH p AS (SELECT {RECORD_SQL} AS r FROM pages),
+d AS (SELECT r, CAST(strlen(r) AS BIGINT) AS len, sha256(left(r, length(r) - 4)) AS digest FROM p),
+b AS (SELECT min(b) AS bits FROM range(21) x(b), (SELECT sum(len) AS total FROM d) t WHERE CAST({fixity.ARCHIVE_BYTES} AS BIGINT) << b >= total OR b = 20),
+k AS (SELECT r, len, digest, CAST('0x' || substr(digest, 1, 5) AS BIGINT) >> CAST(20 - bits AS BIGINT) AS bucket FROM d, b),
+o AS (SELECT r, len, bucket, CAST(coalesce(sum(len) OVER (PARTITION BY bucket ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM k),
+n AS (SELECT r, len, start, lpad(CAST(bucket AS VARCHAR), 7, '0') || '-' || (start // {fixity.ARCHIVE_BYTES}) AS archive FROM o),
+a AS (SELECT archive, CAST(start - min(start) OVER (PARTITION BY archive) AS BIGINT) AS position, len, r FROM n),
+h AS (
+  SELECT *, {HASH_SQL.format("archive || '|' || position")} % 97 AS k, {HASH_SQL.format('archive')} % 3 AS ends,
+    row_number() OVER (PARTITION BY archive ORDER BY position DESC) = 1 AS last FROM a),
+g AS (SELECT *, k = 5 AND coalesce(lag(k) OVER (PARTITION BY archive ORDER BY position), -1) <> 5 AS broken FROM h),
+c AS (SELECT *, CASE WHEN k = 3 THEN substr(r, 1, 21) || 'R' || substr(r, 23) WHEN broken THEN 'w' || substr(r, 2) ELSE r END AS other FROM g),
+e AS (SELECT *, CASE WHEN last AND ends = 0 THEN left(other, length(other) - 6) ELSE other END AS replica, broken OR (last AND ends = 0) AS bad FROM c)
+SELECT archive, position, CASE WHEN bad THEN 'damaged' ELSE 'changed' END AS status, len AS length, sha256(r) AS digest,
+  CAST(strlen(replica) AS BIGINT) AS replica_length, sha256(replica) AS replica_digest FROM e WHERE r <> replica
+UNION ALL
+SELECT archive, position + len, 'extra', NULL, NULL, CAST({len(EXTRA)} AS BIGINT), '{hashlib.sha256(EXTRA).hexdigest()}' FROM e WHERE last AND ends = 1
 """
 
 OP10_SQL = f"""
