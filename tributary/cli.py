@@ -10,6 +10,7 @@ from __future__ import annotations
 import argparse
 import resource
 import sys
+import threading
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,8 @@ from tributary.sources import converters, schemas
 from tributary.sources.tagged import read_dat, read_lines, write_lines
 from tributary.streaming.continuous import ContinuousQuery
 
-#: Sample rows that a report shows at most.
-SHOWN = 10_000
+#: Seconds between lines of the throughput file.
+METER_EVERY = 0.5
 
 
 def parser() -> argparse.ArgumentParser:
@@ -33,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-a", "--algorithm", default="folded", choices=ALGORITHMS)
     p.add_argument("-i", "--input", required=True)
     p.add_argument("-o", "--output", help="file for reports, besides the terminal")
-    p.add_argument("-m", "--meter", help="file for throughput: seconds, rows since the last line, results since then")
+    p.add_argument("-m", "--meter", help="file for throughput, a line every 0.5 s: seconds, reported rows since the last line, results since then")
     p.add_argument("-w", "--window", default="no_window", choices=["no_window", "tumbling", "sliding"])
     p.add_argument("-t", "--window-size", type=int, default=0)
     p.add_argument("-s", "--sampling", choices=["bernoulli", "swor", "swr"])
@@ -61,8 +62,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> list[dict]:
         make = {"bernoulli": query.set_bernoulli_sampling, "swor": query.set_sampling_without_replacement, "swr": query.set_sampling_with_replacement}
         make[args.sampling](args.rate, seed=args.seed)
     query.set_no_dumping(args.no_dump)
-    began, shown = time.time(), []
-    work = ContinuousQuery(spark, query, {i: n for i, (n, _) in enumerate(streams)}, {i: s for i, (_, s) in enumerate(streams)}, null_as_zero=True, allow_deletes=args.allow_deletion)
+    work = ContinuousQuery(
+        spark, query, {i: n for i, (n, _) in enumerate(streams)}, {i: s for i, (_, s) in enumerate(streams)}, null_as_zero=True, allow_deletes=args.allow_deletion, widths=schemas.WIDTHS,
+    )
     out = open(args.output, "w") if args.output else None
 
     def tell(text: str) -> None:
@@ -73,22 +75,63 @@ def run(args: argparse.Namespace, spark: SparkSession) -> list[dict]:
     def on_report(row: dict, sample: DataFrame | None) -> None:
         tell(report_line(*[row[k] for k in ("n_proc", "win_lo", "win_hi", "n_seen", "ssize", "ntup")]))
         if sample is not None and not args.no_dump:
-            for r in sample_lines(sample.limit(SHOWN), [f"{s}_rid" for s in query.spec.streams]).toLocalIterator():
+            # All of it, a part of the table at a time.
+            for r in sample_lines(sample, [f"{s}_rid" for s in query.spec.streams], "result_ts" if "result_ts" in sample.columns else None).toLocalIterator():
                 tell(r["value"])
-        shown.append((time.time() - began, row["ntup"], row["n_proc"]))
 
     work.on_report = on_report
-    work.take(lines, 0)
+    began = time.time()
+    with Meter(args.meter, work):
+        work.take(lines, 0)
     tell(f"execution duration: {time.time() - began:.3f} s")
-    tell(f"peak memory of the driver's Python: {resource.getrusage(resource.RUSAGE_SELF).ru_maxrss} kB")
+    tell(f"peak memory: driver's JVM {jvm_peak(spark)} kB, driver's Python {resource.getrusage(resource.RUSAGE_SELF).ru_maxrss} kB")
     if out:
         out.close()
-    if args.meter:
-        with open(args.meter, "w") as meter:
-            meter.writelines(f"{t:.3f},{a},{b}\n" for t, a, b in shown)
     return work.reported
 
 
+class Meter:
+    """While it is entered, writes a line every half a second, and a last one: seconds, rows and results of reports since the line before."""
+
+    def __init__(self, path: str | None, work: ContinuousQuery):
+        self.path, self.work, self.over = path, work, threading.Event()
+
+    def __enter__(self) -> Meter:
+        if self.path:
+            self.file, self.began, self.told = open(self.path, "w"), time.time(), (0, 0)
+            self.thread = threading.Thread(target=self.run, daemon=True)
+            self.thread.start()
+        return self
+
+    def run(self) -> None:
+        while not self.over.wait(METER_EVERY):
+            self.line()
+
+    def line(self) -> None:
+        reported = list(self.work.reported)
+        now = sum(r["ntup"] for r in reported), sum(r["n_proc"] for r in reported)
+        self.file.write(f"{time.time() - self.began:.3f},{now[0] - self.told[0]},{now[1] - self.told[1]}\n")
+        self.file.flush()
+        self.told = now
+
+    def __exit__(self, *_) -> None:
+        if self.path:
+            self.over.set()
+            self.thread.join()
+            self.line()
+            self.file.close()
+
+
+def jvm_peak(spark: SparkSession) -> int:
+    """The most memory that the driver's JVM, which on one machine holds the data, has had: kB resident, or 0 where the system doesn't tell."""
+    try:
+        pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+        with open(f"/proc/{pid}/status") as status:
+            return next((int(x.split()[1]) for x in status if x.startswith("VmHWM:")), 0)
+    except OSError:
+        return 0
+
+
 def convert(argv: list[str], spark: SparkSession) -> None:
     """convert linear_road IN OUT DIR MIN_LANE MAX_LANE F|P PARAM; convert qx|qy|qz|qy_wd DAT_FOLDER OUT [SEED]."""
     kind, source, target, *rest = argv

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from tributary.query import JoinQuery
 from tributary.sources import schemas as S
 
-#: For each query, the stream names by number, and their columns.
+#: For each query, the stream names by number, and their columns.
 STREAMS: dict[str, list[tuple[str, T.StructType]]] = {
     "tpcds_qx": [("sr", S.STORE_RETURNS), ("cs", S.CATALOG_SALES), ("d1", S.DATE_DIM), ("d2", S.DATE_DIM), ("ss", S.STORE_SALES)],
     "tpcds_qy": [("ss", S.STORE_SALES), ("c2", S.CUSTOMER), ("hd1", S.HOUSEHOLD_DEMOGRAPHICS), ("hd2", S.HOUSEHOLD_DEMOGRAPHICS), ("c1", S.CUSTOMER)],
@@ -27,6 +27,7 @@ def streams_of(name: str, lanes: int = 3) -> list[tuple[str, T.StructType]]:
 
 def build(name: str, frames: list[DataFrame], algorithm: str = "folded", rid: str = "line_no", width: int = 0) -> JoinQuery:
     """A named query; frames: a table for each stream number, with a column `rid` that names its rows."""
+    # The keys, edges and filters that each workload consists of.
     q = JoinQuery(algorithm)
     ts = "ts" if name == "edgar" else "time"
     keys = {"d1": "date_sk", "d2": "date_sk", "d": "date_sk", "c1": "customer_sk", "hd1": "demo_sk", "hd2": "demo_sk", "i1": "item_sk", "i": "item_sk"}

@@ -3,32 +3,54 @@
 The results that a batch adds are split by the first stream, in the order of the streams, that contributes a new row: of
 term i, streams before i take part with all their rows, stream i with its new ones, and streams after i with their old ones.
 Each term is a join like the whole, so its size comes from weights and its results have numbers. No old result
-is counted or drawn again.
+is counted or drawn again. The join tree of a term has its new rows at the root, and other tables only keep
+rows whose keys are asked for on the way from there; so what is grouped and shuffled goes with the batch.
 """
 
 from __future__ import annotations
 
 import random
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tributary.operators.sampling import bernoulli_numbers, draw_numbers
+from tributary.operators.sampling import bernoulli_numbers, draw_numbers, numbers_frame
 from tributary.operators.tables import keep
-from tributary.operators.unrank import unrank
+from tributary.operators.unrank import prepare, unrank
 from tributary.operators.weights import total
-from tributary.plans.planner import plan
+from tributary.plans.planner import Node, plan
 from tributary.plans.spec import SampleSpec, Spec
 
 
-def terms(spec: Spec, new: dict[str, DataFrame]) -> list[Spec]:
+@dataclass
+class Term:
+    """A part of the added results: a query whose stream `first` has new rows only."""
+
+    spec: Spec
+    first: str
+    use_keys: bool = True
+
+    def tree(self) -> Node:
+        return plan(self.spec, self.use_keys, root=self.first)
+
+    def size(self) -> int:
+        return int(total(self.spec, self.tree(), near=True).agg(F.sum("n_seen")).first()[0] or 0)
+
+    def draw(self, numbers: DataFrame) -> DataFrame:
+        """Results by number: (draw, <stream>_rid...)."""
+        return unrank(prepare(self.spec, self.tree(), near=True), numbers)
+
+
+def terms(spec: Spec, new: dict[str, DataFrame], use_keys: bool = True) -> list[Term]:
     """The query split as above. spec: over the old rows; new: the rows that streams get."""
     out, order = [], list(spec.streams)
     for i, name in enumerate(order):
         if name not in new:
             continue
         frames = {other: spec.streams[other].frame.unionByName(new[other]) for other in order[:i] if other in new}
-        out.append(spec.over({**frames, name: new[name]}))
+        out.append(Term(spec.over({**frames, name: new[name]}), name, use_keys))
     return out
 
 
@@ -41,20 +63,20 @@ def size(spec: Spec, use_keys: bool = True) -> int:
     return int(total(spec, plan(spec, use_keys)).first()["n_seen"])
 
 
-def added(spec: Spec, new: dict[str, DataFrame], use_keys: bool = True) -> list[tuple[Spec, int]]:
+def added(spec: Spec, new: dict[str, DataFrame], use_keys: bool = True) -> list[tuple[Term, int]]:
     """Each term with the number of results that it adds."""
-    return [(t, size(t, use_keys)) for t in terms(spec, new)]
+    return [(t, t.size()) for t in terms(spec, new, use_keys)]
 
 
-def by_numbers(parts: list[tuple[Spec, int]], numbers: list[tuple[int, int]], use_keys: bool = True) -> DataFrame | None:
+def by_numbers(parts: list[tuple[Term, int]], numbers: list[tuple[int, int]]) -> DataFrame | None:
     """Added results by number over all terms; numbers: (draw, number)."""
     out, before = None, 0
     for term, n in parts:
         own = [(d, j - before) for d, j in numbers if before <= j < before + n]
         before += n
         if own:
-            spark = next(iter(term.streams.values())).frame.sparkSession
-            drawn = unrank(term, plan(term, use_keys), spark.createDataFrame([(d, str(j)) for d, j in own], "draw long, j string").selectExpr("draw", "CAST(j AS decimal(38,0)) AS _j"))
+            spark = next(iter(term.spec.streams.values())).frame.sparkSession
+            drawn = term.draw(numbers_frame(spark, [j for _, j in own], draws=[d for d, _ in own]))
             out = drawn if out is None else out.unionByName(drawn)
     return out
 
@@ -78,8 +100,8 @@ def absorbed(spec: Spec, sample: DataFrame, new: dict[str, DataFrame], use_keys:
     if how.kind == "bernoulli":
         for term, n in parts:
             if n:
-                numbers = bernoulli_numbers(spark, SampleSpec("bernoulli", how.amount, seed), n)
-                held = held.unionByName(unrank(term, plan(term, use_keys), numbers).select("draw", *rids))
+                numbers = keep(bernoulli_numbers(spark, SampleSpec("bernoulli", how.amount, seed), n), "numbers")
+                held = held.unionByName(term.draw(numbers).select("draw", *rids))
                 seed += 1
         return held
     k, old = int(how.amount), size(spec, use_keys)
@@ -104,7 +126,7 @@ def absorbed(spec: Spec, sample: DataFrame, new: dict[str, DataFrame], use_keys:
         return held
     if how.kind == "swr":
         held = held.join(spark.createDataFrame([(d,) for d in taken], "draw long"), "draw", "left_anti")
-    fresh = by_numbers(parts, list(zip(taken, picks)), use_keys)
+    fresh = by_numbers(parts, list(zip(taken, picks)))
     return held.select("draw", *rids).unionByName(fresh.select("draw", *rids))
 
 
@@ -117,5 +139,3 @@ def _hypergeometric(seed: int, good: int, bad: int, n: int) -> int:
         else:
             bad -= 1
     return got
-
-

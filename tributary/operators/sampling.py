@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -33,7 +34,7 @@ def draw_numbers(sampling: SampleSpec, size: int, avoid: set[int] = frozenset())
         return [md5_number(sampling.seed, i) % size if fixed else generator.randrange(size) for i in range(k)]
     free = size - len(avoid)
     if free <= REBUILD * k:
-        order = [j for j in range(size) if j not in avoid]
+        order = [j for j in range(size) if j not in avoid]  # at most REBUILD times the sample and what it avoids
         if free <= k:
             return order
         return sorted(order, key=lambda j: (md5_number(sampling.seed, j), j))[:k] if fixed else generator.sample(order, k)
@@ -47,13 +48,19 @@ def draw_numbers(sampling: SampleSpec, size: int, avoid: set[int] = frozenset())
     return out
 
 
+def fixed_gap(seed: str, i: int, rate: float) -> int:
+    """A geometric number, 1 or more, by inversion of a uniform one in (0, 1)."""
+    return 1 + math.floor(math.log((md5_number(seed, i) + 0.5) / 2**60) / math.log(1 - rate))
+
+
 def bernoulli_numbers(spark: SparkSession, sampling: SampleSpec, size: int, each: int = 50_000) -> DataFrame:
     """(draw, _j): each number in [0, size) with a probability of the rate, by geometric gaps.
 
     A Bernoulli sample grows with the join, so tasks make it: one for each block of numbers with about `each` in it.
-    Gaps have no memory, so blocks are independent. Each block's generator is seeded by the seed and the block.
+    Gaps have no memory, so blocks are independent. Each block's generator is seeded by the seed and the block; a deterministic
+    sample takes the i-th gap of block b from MD5 of "seed|b|i", which SQL elsewhere can repeat.
     """
-    rate, seed = sampling.amount, sampling.seed
+    rate, seed, fixed = sampling.amount, sampling.seed, sampling.deterministic
     blocks = max(1, int(size * rate / each))
     step = -(-size // blocks)
 
@@ -62,9 +69,11 @@ def bernoulli_numbers(spark: SparkSession, sampling: SampleSpec, size: int, each
 
         for part in it:
             for b in part["id"].tolist():
-                generator, at, end, out = np.random.default_rng([seed, b]), b * step - 1, min(size, (b + 1) * step), []
+                generator, at, end, out, done = np.random.default_rng([seed, b]), b * step - 1, min(size, (b + 1) * step), [], 0
                 while at < end:
-                    for gap in generator.geometric(rate, 1024).tolist():
+                    gaps = [fixed_gap(f"{seed}|{b}", i, rate) for i in range(done, done + 1024)] if fixed else generator.geometric(rate, 1024).tolist()
+                    done += 1024
+                    for gap in gaps:
                         at += gap
                         if at >= end:
                             break
@@ -75,9 +84,10 @@ def bernoulli_numbers(spark: SparkSession, sampling: SampleSpec, size: int, each
     return made.select("draw", F.col("j").cast("decimal(38,0)").alias("_j"))
 
 
-def numbers_frame(spark: SparkSession, numbers: list[int], first: int = 0) -> DataFrame:
-    """(draw, _j); numbers may exceed a long, so they travel as text."""
-    rows = spark.createDataFrame([(first + i, str(j)) for i, j in enumerate(numbers)], "draw long, j string")
+def numbers_frame(spark: SparkSession, numbers: list[int], first: int = 0, draws: list[int] | None = None) -> DataFrame:
+    """(draw, _j), draws counting from `first` unless they are given; numbers may exceed a long, so they travel as text."""
+    own = draws if draws is not None else range(first, first + len(numbers))
+    rows = spark.createDataFrame([(d, str(j)) for d, j in zip(own, numbers)], "draw long, j string")
     return rows.select("draw", F.col("j").cast("decimal(38,0)").alias("_j"))
 
 

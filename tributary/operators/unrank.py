@@ -1,40 +1,71 @@
 """Random access to join results: from a number below the size of the join to the rows of that result.
 
 Results are numbered by root row, then by the children in their order, the last running fastest. Rows of a table come
-in the order of their bucket (a hash of the row name) and then of the name; under a band, by key first.
+in the order of a hash of their name and then of the name; under a band, by key first.
 
 A draw goes down the tree: its number is split over the children by their sums, and each part looked up among the
-rows with the draw's key. Every lookup first uses sums by bucket, and only then rows, of the buckets
-that draws fall in; so no task orders a whole key, however many rows have it. Draws are few against rows.
+rows with the draw's key. Every lookup first uses sums by bucket (the hash's first bits, as many as the table's size
+asks for), and only then rows, of the buckets that draws fall in: other rows leave the table before it is joined with
+anything. So no task orders a whole key, however many rows have it. What a node tells its parent is computed once
+and shared by all steps. Draws are few against rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tributary.operators.bandjoin import band_join
-from tributary.operators.tables import BUCKETS, bucket, keep, rid
-from tributary.operators.weights import WEIGHT, cell, edge_columns, group_rows, key_columns, message, take_message, weigh
+from tributary.operators.tables import HASH_BITS, bucket_bits, hash60, keep, rid
+from tributary.operators.weights import WEIGHT, Told, cell, edge_columns, group_rows, key_columns, messages, take_message
 from tributary.plans.planner import Node
 from tributary.plans.spec import Spec
 
+#: A table of buckets is broadcast if it has at most 2 ** this rows of a number each.
+SMALL_BITS = 18
+#: Bins that draws and the root's buckets meet in, at most.
+BINS = 1 << 16
+
+
+@dataclass
+class Prepared:
+    """A query whose results can be had by number: what nodes tell, the root's sums by bucket, and the size."""
+
+    spec: Spec
+    top: Node
+    wanted: dict[str, set[str]]
+    told: dict[int, Told]
+    bits: dict[str, int]
+    sums: DataFrame
+    size: int
 
-def positions(spec: Spec, node: Node, wanted: dict[str, set[str]], near: DataFrame | None = None) -> DataFrame:
-    """A node's rows, one by one: keys, _rid, _b (bucket), _w and the sums _m0, _m1, ... of its children.
 
-    near: buckets (_b) whose rows are wanted; others leave the table before it is joined with anything.
+def positions(p: Prepared, node: Node, near: DataFrame | None = None, columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """A node's rows, one by one: keys, _b (bucket), _w and the sums _m0, _m1, ... of its children.
+
+    near: buckets (_b) whose rows are wanted; others leave the table before it is joined with anything. Rows then have _h (the
+    hash of the name) and the names of all members of the group, and their `columns` (by stream).
     """
-    if near is not None:
-        s = spec.streams[node.group.root]
-        spec = spec.over({s.name: s.frame.join(near, bucket(rid(s)) == near["_b"], "left_semi")})
-    rows = group_rows(spec, node.group, wanted, rids={node.group.root}).withColumn("_w", F.lit(1).cast(WEIGHT))
+    spec, root, wanted = p.spec, node.group.root, p.wanted
+    s, bits = spec.streams[root], p.bits[root]
+    place = hash60(rid(s))
+    # Never null, so the planner needs no filter that would work it out a second time.
+    bucket = F.coalesce(F.shiftright(place, HASH_BITS - bits).cast("int"), F.lit(0))
+    if near is None:
+        rows = group_rows(spec, node.group, wanted, also=(bucket.alias("_b"),))
+    else:
+        asked = F.broadcast(near) if bits <= SMALL_BITS else near
+        spec = spec.over({root: s.frame.withColumn("_b", bucket).join(asked, "_b", "left_semi")})
+        wide = {m: wanted[m] | set((columns or {}).get(m, ())) for m in wanted}
+        rows = group_rows(spec, node.group, wide, rids=set(node.group.members), also=(F.col("_b"), place.alias("_h")))
+    rows = rows.withColumn("_w", F.lit(1).cast(WEIGHT))
     for i, child in enumerate(node.children):
-        rows = take_message(child, rows, message(spec, child, weigh(spec, child, wanted, False), []), [], f"_m{i}")
+        rows = take_message(child, rows, p.told[id(child)].taken, [], f"_m{i}")
         rows = rows.withColumn("_w", (F.col("_w") * F.col(f"_m{i}")).cast(WEIGHT))
-    name = F.col(cell(node.group.root, "_rid"))
-    return rows.withColumn("_rid", name).withColumn("_b", bucket(name))
+    return rows
 
 
 def running(over, order: list[str]) -> Column:
@@ -43,86 +74,91 @@ def running(over, order: list[str]) -> Column:
     return F.coalesce(F.sum("_w").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast(WEIGHT)
 
 
-def look_up(draws: DataFrame, keys: list[str], rows_of) -> DataFrame:
-    """For draws (draw, keys..., _j) the row that number _j falls on, with _x, what is left of it.
+def prepare(spec: Spec, top: Node, near: bool = False) -> Prepared:
+    """Weights from the leaves to the root's buckets, once for the size, the numbers and all draws.
 
-    rows_of: from None, or a table of buckets, to the rows of all, or of these, buckets.
+    near: other tables take part only with rows whose keys the root's rows have, which pays where the root is small.
     """
+    wanted = edge_columns(top, spec)
+    bits = {n.group.root: bucket_bits(spec.streams[n.group.root].frame) for n in top.walk()}
+    p = Prepared(spec, top, wanted, messages(spec, top, wanted, near), bits, None, 0)
+    p.sums = keep(positions(p, top).groupBy("_b").agg(F.sum("_w").cast(WEIGHT).alias("_w")), "sums")
+    p.size = int(p.sums.agg(F.sum("_w")).first()[0] or 0)
+    return p
+
+
+FALLS = "_j >= _lo AND _j < _lo + _w"
+
+
+def look_up(p: Prepared, node: Node, draws: DataFrame, keys: list[str], columns: dict[str, list[str]]) -> DataFrame:
+    """For draws (draw, keys..., _j) the row that number _j falls on, with _x, what is left of it."""
     asked = draws.select(*keys).distinct() if keys else None
     of_keys = lambda rows: rows.join(asked, keys, "left_semi") if keys else rows
-    sums = of_keys(rows_of(None)).groupBy(*keys, "_b").agg(F.sum("_w").cast(WEIGHT).alias("_w"))
-    sums = sums.withColumn("_lo", running(keys, ["_b"]))
-    falls = (F.col("_j") >= F.col("_lo")) & (F.col("_j") < F.col("_lo") + F.col("_w"))
     if keys:
-        at = draws.join(sums, keys).filter(falls)
+        sums = of_keys(positions(p, node)).groupBy(*keys, "_b").agg(F.sum("_w").cast(WEIGHT).alias("_w"))
+        at = draws.join(sums.withColumn("_lo", running(keys, ["_b"])), keys).filter(FALLS)
     else:
-        at = at_root(draws, sums)
-    at = keep(at.select("draw", *keys, "_b", (F.col("_j") - F.col("_lo")).cast(WEIGHT).alias("_j")), "draws")
+        at = at_root(draws, p.sums.withColumn("_lo", running([], ["_b"])), p.size)
+    at = at.select("draw", *keys, "_b", (F.col("_j") - F.col("_lo")).cast(WEIGHT).alias("_j"))
+    if keys:
+        at = keep(at, "draws")
     hit = at.select(*keys, "_b").distinct()
-    near = of_keys(rows_of(at.select("_b").distinct())).join(hit, [*keys, "_b"], "left_semi").withColumn("_lo", running([*keys, "_b"], ["_rid"]))
-    return at.join(near, [*keys, "_b"]).filter(falls).withColumn("_x", (F.col("_j") - F.col("_lo")).cast(WEIGHT)).drop("_j", "_lo", "_b", "_w")
+    rows = of_keys(positions(p, node, at.select("_b").distinct(), columns)).join(hit, [*keys, "_b"], "left_semi")
+    near = rows.withColumn("_lo", running([*keys, "_b"], ["_h", cell(node.group.root, "_rid")]))
+    return at.join(near, [*keys, "_b"]).filter(FALLS).withColumn("_x", (F.col("_j") - F.col("_lo")).cast(WEIGHT)).drop("_j", "_lo", "_b", "_w", "_h")
 
 
-def at_root(draws: DataFrame, sums: DataFrame) -> DataFrame:
+def at_root(draws: DataFrame, sums: DataFrame, size: int) -> DataFrame:
     """Draws with the bucket that they fall on, by bins of numbers: a bucket is in all bins that it reaches into.
 
-    There are at most as many bins as buckets, so twice BUCKETS rows of sums meet the draws, however many these are.
+    Bins and buckets are bounded in number, so few rows of sums meet the draws, however many these are.
     """
-    sums = keep(sums, "sums")
-    size = int(sums.agg(F.max(F.col("_lo") + F.col("_w"))).first()[0] or 0)
-    width = F.lit(str(size // BUCKETS + 1)).cast(WEIGHT)
+    width = F.lit(str(size // BINS + 1)).cast(WEIGHT)
     place = lambda x: ((x - x % width) / width).cast("long")
     reach = sums.withColumn("_bin", F.explode(F.sequence(place(F.col("_lo")), place((F.col("_lo") + F.col("_w") - 1).cast(WEIGHT)))))
-    falls = (F.col("_j") >= F.col("_lo")) & (F.col("_j") < F.col("_lo") + F.col("_w"))
-    return draws.withColumn("_bin", place(F.col("_j"))).join(reach, "_bin").filter(falls)
+    return draws.withColumn("_bin", place(F.col("_j"))).join(reach, "_bin").filter(FALLS)
 
 
-def into_band(draws: DataFrame, rows: DataFrame, node: Node, mine: str, theirs: str) -> DataFrame:
+def into_band(draws: DataFrame, told: DataFrame, node: Node, mine: str, theirs: str) -> DataFrame:
     """For draws (draw, mine, _j) the child's key that _j falls on, as `theirs`, and what is left as _j."""
-    sums = rows.groupBy(theirs).agg(F.sum("_w").cast(WEIGHT).alias("_w"))
+    sums = told.withColumnRenamed("_m", "_w")
     met = band_join(draws, mine, sums, theirs, node.edge.width).withColumn("_lo", running(["draw"], [theirs]))
-    falls = (F.col("_j") >= F.col("_lo")) & (F.col("_j") < F.col("_lo") + F.col("_w"))
-    return met.filter(falls).select("draw", theirs, (F.col("_j") - F.col("_lo")).cast(WEIGHT).alias("_j"))
+    return met.filter(FALLS).select("draw", theirs, (F.col("_j") - F.col("_lo")).cast(WEIGHT).alias("_j"))
 
 
-def descend(spec: Spec, node: Node, draws: DataFrame, wanted: dict[str, set[str]]) -> DataFrame:
-    """(draw, <stream>_rid...) for a node and all below it; draws: (draw, _j), with the parent's key as `_k...`."""
+def descend(p: Prepared, node: Node, draws: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
+    """(draw, <stream>_rid and columns...) for a node and all below it; draws: (draw, _j), with the parent's key as `_k...`."""
     keys: list[str] = []
     if node.edge:
         keys = key_columns(node, node.stream)
         mine = [f"_k{i}" for i in range(len(keys))]
         if node.edge.is_band:
-            draws = into_band(draws, positions(spec, node, wanted), node, mine[0], keys[0])
+            draws = into_band(draws, p.told[id(node)].raw, node, mine[0], keys[0])
         else:
             draws = draws.withColumnsRenamed(dict(zip(mine, keys)))
-    root = node.group.root
-    found = look_up(draws, keys, lambda near: positions(spec, node, wanted, near))
-    found = keep(found, "found")
-    out = found.select("draw", F.col("_rid").alias(f"{root}_rid"))
+    found = look_up(p, node, draws, keys, columns)
+    if node.children:
+        found = keep(found, "found")
+    own = [F.col(cell(m, "_rid")).alias(f"{m}_rid") for m in node.group.members]
+    out = found.select("draw", *own, *[F.col(cell(m, c)).alias(f"{m}_{c}") for m in node.group.members for c in columns.get(m, ())])
     left = F.col("_x")
     for i, child in reversed(list(enumerate(node.children))):
         digit = (left % F.col(f"_m{i}")).cast(WEIGHT)
         mine = [F.col(c).alias(f"_k{n}") for n, c in enumerate(key_columns(child, child.parent_stream))]
-        part = descend(spec, child, found.select("draw", *mine, digit.alias("_j")), wanted)
+        part = descend(p, child, found.select("draw", *mine, digit.alias("_j")), columns)
         out = out.join(part, "draw")
         left = F.floor((left - digit) / F.col(f"_m{i}")).cast(WEIGHT) if i else left
     return out
 
 
-def resolve_folded(spec: Spec, top: Node, drawn: DataFrame) -> DataFrame:
-    """drawn with <stream>_rid of folded streams too, through their keys."""
-    for node in top.walk():
-        if not node.group.folded:
-            continue
-        root = node.group.root
-        every = {s: set() for s in spec.streams}
-        wide = group_rows(spec, node.group, every, rids=set(node.group.members)).select(*[F.col(cell(m, "_rid")).alias(f"{m}_rid") for m in node.group.members])
-        drawn = drawn.join(wide, f"{root}_rid")
-    return drawn
-
+def unrank(p: Prepared, draws: DataFrame, columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """draws: (draw, _j) with 0 <= _j < the size of the join. Rows (draw, <stream>_rid for all streams).
 
-def unrank(spec: Spec, top: Node, draws: DataFrame) -> DataFrame:
-    """draws: (draw, _j) with 0 <= _j < the size of the join. Rows (draw, <stream>_rid for all streams)."""
-    start = keep(draws.select("draw", F.col("_j").cast(WEIGHT).alias("_j")), "numbers")
-    out = resolve_folded(spec, top, descend(spec, top, start, edge_columns(top, spec)))
-    return out.select("draw", *[f"{s}_rid" for s in spec.streams])
+    columns: of a stream, columns of its rows to add as <stream>_<column>.
+    """
+    columns = columns or {}
+    if not p.size:
+        draws = draws.limit(0)
+    start = draws.select("draw", F.col("_j").cast(WEIGHT).alias("_j"))
+    out = descend(p, p.top, start, columns)
+    return out.select("draw", *[f"{s}_rid" for s in p.spec.streams], *[f"{s}_{c}" for s in p.spec.streams for c in columns.get(s, ())])

@@ -8,18 +8,21 @@ Sums are decimal(38, 0): exact, and an overflow is an error.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.operators.bandjoin import band_join
+from tributary.operators.bandjoin import band_sums, bin_of
 from tributary.operators.filters import filtered
-from tributary.operators.tables import rid
+from tributary.operators.tables import estimated_bytes, floor_div, keep, rid
 from tributary.plans.planner import Group, Node
 from tributary.plans.spec import Spec
 
 WEIGHT = "decimal(38,0)"
+#: Bytes of a table, by the planner's estimate, up to which sums over it are not worth writing.
+SMALL = 8 << 20
 WINDOW = "_window"
 
 
@@ -32,13 +35,13 @@ def window_id(spec: Spec, stream: str) -> Column | None:
     """Tumbling windows are one more column that all streams must agree on."""
     if spec.window.kind != "tumbling":
         return None
-    return F.floor(F.col(spec.streams[stream].ts) / F.lit(spec.window.size)).cast("long")
+    return floor_div(F.col(spec.streams[stream].ts), spec.window.size)
 
 
-def stream_rows(spec: Spec, name: str, columns: set[str], with_rid: bool) -> DataFrame:
-    """A stream's filtered rows: the columns asked for, its window and its row name."""
+def stream_rows(spec: Spec, name: str, columns: set[str], with_rid: bool, also: tuple[Column, ...] = ()) -> DataFrame:
+    """A stream's filtered rows: the columns asked for, its window and its row name, and `also` what is made of its columns."""
     stream = spec.streams[name]
-    out = [F.col(c).alias(cell(name, c)) for c in sorted(columns)]
+    out = [F.col(c).alias(cell(name, c)) for c in sorted(columns)] + list(also)
     if (w := window_id(spec, name)) is not None:
         out.append(w.alias(WINDOW))
     if with_rid:
@@ -56,8 +59,8 @@ def edge_columns(top: Node, spec: Spec) -> dict[str, set[str]]:
     return out
 
 
-def group_rows(spec: Spec, group: Group, wanted: dict[str, set[str]], trust_keys: bool = False, rids: set[str] = frozenset(), counted: bool = False) -> DataFrame:
-    """A group as one table: its root's rows with what its keys lead to.
+def group_rows(spec: Spec, group: Group, wanted: dict[str, set[str]], trust_keys: bool = False, rids: set[str] = frozenset(), counted: bool = False, also: tuple[Column, ...] = ()) -> DataFrame:
+    """A group as one table: its root's rows with what its keys lead to, and `also` what is made of the root's columns.
 
     A folded stream that gives no column is a semi-join; with trust_keys it is left out, unless it has a filter
     or bears a window, since each reference then has exactly one target. counted: rows only matter by their number, _n.
@@ -79,7 +82,7 @@ def group_rows(spec: Spec, group: Group, wanted: dict[str, set[str]], trust_keys
             if parent != group.root:
                 used.add(parent)
     order = spec.key_order
-    rows = stream_rows(spec, group.root, below[group.root] | wanted[group.root] | ({order} if order and group.folded else set()), group.root in rids)
+    rows = stream_rows(spec, group.root, below[group.root] | wanted[group.root] | ({order} if order and group.folded else set()), group.root in rids, also)
     steps = [f for f in group.folded if f[0] in used or f"?{f[0]}" in used]
     joined = {group.root}
     if counted:
@@ -145,22 +148,30 @@ def message(spec: Spec, node: Node, weighted: DataFrame, windowed: list[str]) ->
     return weighted.groupBy(*key_columns(node, node.stream), *windowed).agg(F.sum("_w").cast(WEIGHT).alias("_m"))
 
 
-def take_message(node: Node, rows: DataFrame, told: DataFrame, windowed: list[str], name: str) -> DataFrame:
-    """Parent's rows with the child's sums for them in column `name`; rows without a match go."""
+def for_parent(node: Node, keys: DataFrame, told: DataFrame, windowed: list[str]) -> DataFrame:
+    """A message by the parent's key columns. keys: the parent's distinct keys, which only bands look at.
+
+    Over a band, each distinct key of the parent sums up the child's keys once.
+    """
     theirs, mine = key_columns(node, node.stream), key_columns(node, node.parent_stream)
-    told = told.withColumnsRenamed({w: f"_c{w}" for w in windowed})
-    also = [(w, f"_c{w}") for w in windowed]
     if not node.edge.is_band:
-        on = reduce(Column.__and__, [rows[a] == told[b] for a, b in [*zip(mine, theirs), *also]])
-        return rows.join(told.withColumnRenamed("_m", name), on).drop(*theirs, *[b for _, b in also])
-    # Over a band, each distinct key of the parent sums up the child's keys once.
-    keys = rows.select(*mine, *windowed).distinct()
-    sums = band_join(keys, mine[0], told, theirs[0], node.edge.width, also).groupBy(*mine, *windowed).agg(F.sum("_m").cast(WEIGHT).alias(name))
-    return rows.join(sums, [*mine, *windowed])
+        return told.withColumnsRenamed(dict(zip(theirs, mine)))
+    also = [(w, f"_c{w}") for w in windowed]
+    told = told.withColumnsRenamed(dict(also))
+    return band_sums(keys, mine[0], told, theirs[0], node.edge.width, also).select(*mine, *windowed, "_m")
+
+
+def take_message(node: Node, rows: DataFrame, taken: DataFrame, windowed: list[str], name: str) -> DataFrame:
+    """Parent's rows with the child's sums for them in column `name`; rows without a match go."""
+    return rows.join(taken.withColumnRenamed("_m", name), [*key_columns(node, node.parent_stream), *windowed])
 
 
-def weigh(spec: Spec, node: Node, wanted: dict[str, set[str]], trust_keys: bool) -> DataFrame:
-    """A node's distinct key combinations with their number times their subtrees' results, as _w."""
+def weigh(spec: Spec, node: Node, wanted: dict[str, set[str]], trust_keys: bool, kept: dict[int, Told] | None = None, near: bool = False) -> DataFrame:
+    """A node's distinct key combinations with their number times their subtrees' results, as _w.
+
+    kept: gets what each child tells, written, so that later steps share it. near: tables below keep only rows whose keys
+    this node's rows have, which pays where it has few.
+    """
     windowed = [WINDOW] if spec.window.kind == "tumbling" else []
     keys = [c for child in node.children for c in key_columns(child, child.parent_stream)]
     if node.edge:
@@ -168,15 +179,62 @@ def weigh(spec: Spec, node: Node, wanted: dict[str, set[str]], trust_keys: bool)
     keys = list(dict.fromkeys(keys)) + windowed
     rows = group_rows(spec, node.group, wanted, trust_keys, counted=True).groupBy(*keys).agg(F.sum("_n").cast(WEIGHT).alias("_w"))
     for i, child in enumerate(node.children):
-        told = message(spec, child, weigh(spec, child, wanted, trust_keys), windowed)
-        rows = take_message(child, rows, told, windowed, f"_m{i}")
+        mine = rows.select(*key_columns(child, child.parent_stream), *windowed).distinct()
+        below = asked_for(spec, child, mine) if near else spec
+        told = message(spec, child, weigh(below, child, wanted, trust_keys, kept, near), windowed)
+        if kept is not None:
+            told = keep(told, "told")
+        taken = for_parent(child, mine, told, windowed)
+        if kept is not None:
+            taken = keep(taken, "taken") if child.edge.is_band else taken
+            kept[id(child)] = Told(told, taken)
+        rows = take_message(child, rows, taken, windowed, f"_m{i}")
         rows = rows.withColumn("_w", (F.col("_w") * F.col(f"_m{i}")).cast(WEIGHT)).drop(f"_m{i}")
     return rows
 
 
-def total(spec: Spec, top: Node, trust_keys: bool = False) -> DataFrame:
+def asked_for(spec: Spec, child: Node, mine: DataFrame) -> Spec:
+    """The query over only those rows of a child's table whose key, or a key in whose band, is among the parent's."""
+    s, theirs = spec.streams[child.stream], child.edge.cols(child.stream)
+    if not child.edge.is_band:
+        keys = mine.select(*key_columns(child, child.parent_stream)).distinct().toDF(*[f"_asked{i}" for i in range(len(theirs))])
+        on = reduce(Column.__and__, [s.frame[c] == keys[f"_asked{i}"] for i, c in enumerate(theirs)])
+    else:  # by bins of the band: more rows than needed, but few
+        width, size = child.edge.width, 2 * child.edge.width + 1
+        k = F.col(key_columns(child, child.parent_stream)[0])
+        keys = mine.select(F.explode(F.array(bin_of(k - width, size), bin_of(k + width, size))).alias("_asked")).distinct()
+        on = bin_of(s.frame[theirs[0]], size) == keys["_asked"]
+    return spec.over({child.stream: s.frame.join(keys, on, "left_semi")})
+
+
+@dataclass
+class Told:
+    """What a child tells: by its own key, and by its parent's."""
+
+    raw: DataFrame
+    taken: DataFrame
+
+
+def messages(spec: Spec, top: Node, wanted: dict[str, set[str]], near: bool = False) -> dict[int, Told]:
+    """What every node below the root tells, by id() of the node; each table is written once. near: see weigh()."""
+    kept: dict[int, Told] = {}
+    windowed = [WINDOW] if spec.window.kind == "tumbling" else []
+    for child in top.children:
+        mine = None
+        if near or child.edge.is_band:
+            mine = group_rows(spec, top.group, wanted).select(*key_columns(child, child.parent_stream), *windowed).distinct()
+        below = asked_for(spec, child, mine) if near else spec
+        told = message(spec, child, weigh(below, child, wanted, False, kept, near), windowed)
+        # A leaf's sums over a small table are as soon made again as written and read.
+        told = told if not child.children and estimated_bytes(spec.streams[child.stream].frame) < SMALL else keep(told, "told")
+        taken = for_parent(child, mine, told, windowed)
+        kept[id(child)] = Told(told, keep(taken, "taken") if child.edge.is_band else taken)
+    return kept
+
+
+def total(spec: Spec, top: Node, trust_keys: bool = False, near: bool = False) -> DataFrame:
     """One row n_seen: the number of results; in tumbling windows, a row (window, n_seen) for each with results."""
-    weighted = weigh(spec, top, edge_columns(top, spec), trust_keys)
+    weighted = weigh(spec, top, edge_columns(top, spec), trust_keys, near=near)
     if spec.window.kind == "tumbling":
         return weighted.groupBy(F.col(WINDOW).alias("window")).agg(F.sum("_w").cast(WEIGHT).alias("n_seen"))
     return weighted.agg(F.coalesce(F.sum("_w"), F.lit(0)).cast(WEIGHT).alias("n_seen"))
@@ -189,6 +247,7 @@ def row_weights(spec: Spec, top: Node) -> DataFrame:
     rows = group_rows(spec, top.group, wanted, rids={top.group.root}).withColumn("_w", F.lit(1).cast(WEIGHT))
     for i, child in enumerate(top.children):
         told = message(spec, child, weigh(spec, child, wanted, False), windowed)
-        rows = take_message(child, rows, told, windowed, f"_m{i}")
+        taken = for_parent(child, rows.select(*key_columns(child, child.parent_stream), *windowed).distinct(), told, windowed)
+        rows = take_message(child, rows, taken, windowed, f"_m{i}")
         rows = rows.withColumn("_w", (F.col("_w") * F.col(f"_m{i}")).cast(WEIGHT))
     return rows

@@ -139,7 +139,7 @@ class JoinQuery:
         if self.algorithm == "enumerate":
             rows = enumeration.results(self.spec)
             if self.spec.window.kind == "tumbling":
-                first = F.floor(F.col("result_ts") / F.lit(self.spec.window.size)).cast("long")
+                first = tables.floor_div(F.col("result_ts"), self.spec.window.size)
                 return rows.groupBy(first.alias("window")).agg(F.count("*").alias("n_seen"))
             return rows.agg(F.count("*").alias("n_seen"))
         out = weights.total(self.spec, self.plan(), trust_keys)
@@ -162,17 +162,31 @@ class JoinQuery:
         """All results; see operators.enumerate."""
         return enumeration.results(self.spec)
 
-    def by_numbers(self, numbers: list[int]) -> DataFrame:
-        """Results by number: (draw, <stream>_rid...), draw being the place in the list."""
+    def by_numbers(self, numbers: list[int], columns: dict[str, list[str]] | None = None) -> DataFrame:
+        """Results by number: (draw, <stream>_rid..., <stream>_<column>...), draw being the place in the list."""
         q = self.live()
         spark = next(iter(self.spec.streams.values())).frame.sparkSession
-        return unrank.unrank(q.spec, q.plan(), sampling.numbers_frame(spark, numbers))
+        return unrank.unrank(unrank.prepare(q.spec, q.plan()), sampling.numbers_frame(spark, numbers), columns)
 
-    def samples(self) -> DataFrame:
-        """The sample of the live results: (draw, <stream>_rid...)."""
+    def samples(self, columns: dict[str, list[str]] | None = None, with_ts: bool = False) -> DataFrame:
+        """The sample of the live results: (draw, <stream>_rid...).
+
+        columns: of a stream, columns of its rows to add as <stream>_<column>, at no further pass over the tables.
+        with_ts: result_ts too, the least time of a result's rows, which all streams must have.
+        """
         how = self.spec.sampling
         if how is None:
             raise QueryError("no sampling method is set")
+        streams = self.spec.streams
+        own = {s: list((columns or {}).get(s, ())) for s in streams}
+        if with_ts:
+            if not all(s.ts for s in streams.values()):
+                raise QueryError("a result has a time if all streams have")
+            wide = {s: list(dict.fromkeys([*own[s], streams[s].ts])) for s in streams}
+            times = [F.col(f"{s}_{streams[s].ts}") for s in streams]
+            least = (F.least(*times) if len(times) > 1 else times[0]).alias("result_ts")
+            rids = [f"{s}_rid" for s in streams]
+            return self.samples(wide).select("draw", *rids, least, *[f"{s}_{c}" for s in streams for c in own[s]])
         q = self.live()
         rids = [f"{s}_rid" for s in q.spec.streams]
         spark = next(iter(q.spec.streams.values())).frame.sparkSession
@@ -185,15 +199,16 @@ class JoinQuery:
             else:
                 sample = sampling.bottom_k(made, rids, int(how.amount), how.seed)
             if how.kind == "swr":
-                return sampling.with_replacement(tables.keep(sample, "sample"), rids, made.count(), int(how.amount), how.seed)
-            return sample.select(sampling.result_hash(sample, rids, how.seed).alias("_h"), *rids).select(F.conv(F.substring("_h", 1, 15), 16, 10).cast("long").alias("draw"), *rids)
-        top = q.plan()
-        size = int(weights.total(q.spec, top).first()["n_seen"])
+                sample = sampling.with_replacement(tables.keep(sample, "sample"), rids, made.count(), int(how.amount), how.seed)
+            else:
+                sample = sample.select(sampling.result_hash(sample, rids, how.seed).alias("_h"), *rids).select(F.conv(F.substring("_h", 1, 15), 16, 10).cast("long").alias("draw"), *rids)
+            return q.resolve(sample, {s: c for s, c in own.items() if c}) if columns else sample
+        ready = unrank.prepare(q.spec, q.plan())
         if how.kind == "bernoulli":
-            numbers = sampling.bernoulli_numbers(spark, how, size) if size else sampling.numbers_frame(spark, [])
+            numbers = tables.keep(sampling.bernoulli_numbers(spark, how, ready.size), "numbers") if ready.size else sampling.numbers_frame(spark, [])
         else:
-            numbers = sampling.numbers_frame(spark, sampling.draw_numbers(how, size))
-        return unrank.unrank(q.spec, top, numbers)
+            numbers = sampling.numbers_frame(spark, sampling.draw_numbers(how, ready.size))
+        return unrank.unrank(ready, numbers, own)
 
     def added(self, new: dict[str, DataFrame]) -> int:
         """How many results rows to come would add, by stream; old results are not counted again."""
@@ -208,17 +223,21 @@ class JoinQuery:
         """A sample of this query, made one of grown(new); only added results are drawn."""
         return maintain.absorbed(self.spec, sample, new, self.algorithm == "folded")
 
-    def repaired(self, sample: DataFrame) -> DataFrame:
-        """A sample of an earlier state of the tables, made one of the present state."""
-        return deletes.repaired(self.spec, sample, self.spec.sampling, self.algorithm == "folded")
+    def repaired(self, sample: DataFrame, nth: int = 0) -> DataFrame:
+        """A sample of an earlier state of the tables, made one of the present state; nth: the number of this repair."""
+        return deletes.repaired(self.spec, sample, self.spec.sampling, self.algorithm == "folded", nth)
 
     def resolve(self, sample: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
-        """The sample with columns of its members' rows, as <stream>_<column>."""
+        """The sample with columns of its members' rows, as <stream>_<column>; of rows with equal names, one.
+
+        Reads the tables again: where the columns are known before, samples(columns) doesn't.
+        """
         out = sample
         for name, own in columns.items():
             s = self.spec.streams[name]
             rows = s.frame.select(tables.rid(s).alias(f"{name}_rid"), *[F.col(c).alias(f"{name}_{c}") for c in own])
-            out = out.join(rows, f"{name}_rid")
+            named = rows.join(sample.select(f"{name}_rid").distinct(), f"{name}_rid", "left_semi").dropDuplicates([f"{name}_rid"])
+            out = out.join(named, f"{name}_rid")
         return out
 
     def estimate(self, sample: DataFrame, value) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tributary.operators.tables import arrival, keep
+from tributary.operators.tables import HASH_BITS, arrival, bucket_bits, floor_div, hash60, keep, running
 from tributary.sources.tagged import csv_of
 
 #: Fixed values of the workloads: a report every so many lines; deletes of so many rows after so many inserts.
@@ -21,57 +21,66 @@ def linear_road(reports: DataFrame, direction: int, min_lane: int, max_lane: int
     enters a new interval of `param` time units (kind F), or before any row with a chance of 1 in `param` (P), and last.
     """
     own = reports.filter((F.col("type") == 0) & (F.col("dir") == direction) & F.col("lane").between(min_lane, max_lane))
-    rows = own.select("line_no", F.concat((F.col("lane") - min_lane).cast("string"), F.lit("|"), F.col("value")).alias("value"), F.floor(F.col("time") / param).alias("_at"))
+    rows = own.select("line_no", F.concat((F.col("lane") - min_lane).cast("string"), F.lit("|"), F.col("value")).alias("value"), floor_div(F.col("time"), param).alias("_at"))
     if kind == "F":
-        # The highest interval before a row: over ranges of lines first, then within each.
-        ranged = rows.withColumn("_r", F.floor(F.col("line_no") / F.lit(1 << 16)))
-        tops = ranged.groupBy("_r").agg(F.max("_at").alias("_top"))
-        before = tops.withColumn("_before", F.max("_top").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1))).drop("_top")
-        inside = F.max("_at").over(W.partitionBy("_r").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
-        ranged = ranged.join(before, "_r").withColumn("_prior", F.greatest(F.lit(0).cast("long"), F.coalesce("_before", F.lit(0)), F.coalesce(inside, F.lit(0))))
+        # The highest interval up to the row before: lines and what they reach, one line later.
+        known = rows.select("line_no", "_at", F.lit(True).alias("_own")).unionByName(rows.select((F.col("line_no") + 1).alias("line_no"), "_at", F.lit(False).alias("_own")))
+        reached = known.groupBy("line_no").agg(F.max(F.when(~F.col("_own"), F.col("_at"))).alias("_earlier"), F.max(F.when(F.col("_own"), F.col("_at"))).alias("_at"))
+        ranged = running(reached, "line_no", F.col("_earlier"), "_reached", "max").filter("_at IS NOT NULL").select("line_no", F.greatest(F.lit(0).cast("long"), F.coalesce("_reached", F.lit(0))).alias("_prior"))
+        ranged = rows.join(ranged, "line_no")
         marked = ranged.withColumn("_mark", F.col("_at") > F.col("_prior"))
     else:
-        marked = rows.withColumn("_mark", F.pmod(F.xxhash64("line_no", F.lit(seed)), F.lit(param)) == 0)
+        marked = rows.withColumn("_mark", hash60(F.concat_ws("|", F.lit(str(seed)), F.col("line_no").cast("string"))) % param == 0)
     marks = marked.filter("_mark").select((F.col("line_no") * 2).alias("line_no"), F.lit("-").alias("value"))
     last = own.agg((F.max("line_no") * 2 + 2).alias("line_no")).select(F.coalesce("line_no", F.lit(0)).alias("line_no"), F.lit("-").alias("value"))
     return marked.select((F.col("line_no") * 2 + 1).alias("line_no"), "value").unionByName(marks).unionByName(last)
 
 
+def place(seed: int, sid: int, csv: Column) -> Column:
+    """A row's place in a random order, from the seed, its stream and its text: 60 bits, which SQL elsewhere can repeat."""
+    return hash60(F.concat_ws("|", F.lit(str(seed)), F.lit(str(sid)), csv))
+
+
 def interleave(first: list[tuple[int, DataFrame]], mixed: list[tuple[int, DataFrame]], seed: int, after: tuple[int, list[str], int, list[str]] | None = None, deletes: dict[int, tuple[int, int]] | None = None, report_every: int = REPORT_EVERY) -> DataFrame:
     """Lines of `first` streams, one stream after the other, then of `mixed` streams in random order.
 
-    after: (child, columns, parent, columns): a child's row comes after the parent's row that it refers to.
+    The order is by a hash of the seed, the stream and the row's text, so it is the same whenever it is made, and in SQL.
+    after: (child, columns, parent, columns): a child's row comes after the parent's row that it refers to; if its own
+    place is before that, it follows it at once.
     deletes: of a stream, after every so many inserts of mixed rows, so many deletes. A report marker precedes every
     report_every-th row, the first included.
+
+    Lines are numbered by ranges of their places, as many as the table's size asks for; no task orders more than a range of a stream.
     """
-    parts = []
-    for place, (sid, df) in enumerate(first):
-        parts.append(df.select(F.lit(sid).alias("sid"), csv_of(df).alias("csv"), F.lit(place).cast("double").alias("key")))
-    base = float(len(first))
-    frames = dict(mixed)
-    # The key is written before anything else uses it, so each row keeps its own.
-    keyed = {sid: keep(df.withColumn("_key", F.rand(seed + sid) + F.lit(base)), "keyed") for sid, df in frames.items()}
-    for sid, df in frames.items():
-        rows = keyed[sid]
+    frames, parts = dict(mixed), []
+    placed = {sid: df.withColumn("_csv", csv_of(df)).withColumn("_place", place(seed, sid, F.col("_csv"))) for sid, df in [*first, *mixed]}
+    for block, (sid, _) in enumerate(first):
+        parts.append(placed[sid].select(F.lit(block).alias("block"), F.lit(sid).alias("sid"), F.col("_csv").alias("csv"), F.col("_place").alias("key"), F.lit(0).alias("late"), F.col("_place").alias("tie")))
+    for sid in frames:
+        rows = placed[sid].withColumn("_key", F.col("_place")).withColumn("_late", F.lit(0))
         if after and after[0] == sid:
-            parents = keyed[after[2]].select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(after[3])], F.col("_key").alias("_pk"))
+            parents = placed[after[2]].select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(after[3])], F.col("_place").alias("_pk"))
             on = [rows[c] == parents[f"_p{i}"] for i, c in enumerate(after[1])]
-            rows = rows.join(parents, on).withColumn("_key", F.greatest("_key", F.col("_pk") + F.lit(1e-9)))
-        parts.append(rows.select(F.lit(sid).alias("sid"), csv_of(df).alias("csv"), F.col("_key").alias("key")))
+            met = rows.join(parents, on)
+            rows = met.withColumn("_late", (F.col("_pk") >= F.col("_place")).cast("int")).withColumn("_key", F.greatest("_place", "_pk"))
+        parts.append(rows.select(F.lit(len(first)).alias("block"), F.lit(sid).alias("sid"), F.col("_csv").alias("csv"), F.col("_key").alias("key"), F.col("_late").alias("late"), F.col("_place").alias("tie")))
     lines = parts[0]
     for p in parts[1:]:
         lines = lines.unionByName(p)
-    lines = keep(lines.withColumn("_order", (F.col("key") * F.lit(1 << 40)).cast("long")).withColumn("_tie", F.xxhash64("sid", "csv")), "lines")
-    # Ranges of the order hold some ten thousand lines each where keys are even.
-    ranged = lines.withColumn("_r", F.floor(F.col("key") * 1024))
-    before = ranged.groupBy("_r").count().withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    numbered = ranged.join(before, "_r").withColumn("_n", F.col("_before") + F.row_number().over(W.partitionBy("_r").orderBy("_order", "_tie")) - 1)
-    numbered = keep(numbered.select("_n", "sid", "csv", "key"), "numbered")
+    lines = keep(lines, "lines")
+    bits = bucket_bits(lines)
+    # Blocks follow each other; in each, ranges of places are the hash's first bits. Equal lines are interchangeable.
+    ranged = lines.withColumn("_r", F.shiftright("key", HASH_BITS - bits))
+    counts = ranged.groupBy("block", "_r").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("block", "_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    inside = F.row_number().over(W.partitionBy("block", "_r").orderBy("key", "late", "tie", "sid", "csv")) - 1
+    numbered = ranged.join(before, ["block", "_r"]).select((F.col("_before") + inside).alias("_n"), "block", "sid", "csv")
+    numbered = keep(numbered, "numbered")
     rows = numbered.select((F.col("_n") * 4 + 1).alias("line_no"), F.concat(F.col("sid").cast("string"), F.lit("|"), F.col("csv")).alias("value"))
     marks = numbered.filter(F.col("_n") % report_every == 0).select((F.col("_n") * 4).alias("line_no"), F.lit("-").alias("value"))
     out = rows.unionByName(marks)
     for sid, (every, n) in (deletes or {}).items():
-        own = arrival(numbered.filter((F.col("sid") == sid) & (F.col("key") >= base)), [], "_n")
+        own = arrival(numbered.filter((F.col("sid") == sid) & (F.col("block") == len(first))), [], "_n")
         out = out.unionByName(own.filter((F.col("_idx") + 1) % every == 0).select((F.col("_n") * 4 + 2).alias("line_no"), F.lit(f"d {sid} {n}").alias("value")))
     return out
 

@@ -43,5 +43,5 @@ EDGAR = schema(
     "ts ip ip24:int original_ts date:date time:string zone:int cik:double accession:string doc:string code:int size idx:int norefer:int noagent:int "
     "find:int crawler:int browser:string"
 )
-#: Columns that a reader cuts to so many bytes.
+#: Columns that a reader cuts to so many bytes.
 WIDTHS = {"date_id": 18, "item_id": 18, "item_desc": 210, "brand": 52, "class": 52, "category": 52, "manufact": 52, "customer_id": 18, "buy_potential": 17}

@@ -8,17 +8,27 @@ from pyspark.sql import types as T
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a text file, or of a folder's files in the order of their names.
+    """(line_no, value) of a text file, or of a folder's files in the order of their names; line_no counts from 0."""
+    return in_order(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")))
 
-    line_no grows with the place in the input; it has gaps between the parts that tasks read.
+
+def in_order(lines: DataFrame, first: int = 0) -> DataFrame:
+    """(line_no, value) of lines (value, f, b) that know their file and the place in it where the task began to read.
+
+    Files come by name, and a file's parts by place; lines are numbered without gaps from `first`. Lines without a place come in
+    the order of their partitions.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    parts = lines.select("f", "b").distinct().collect()  # a row a split of the input
-    order = {(r["f"], r["b"]): n for n, r in enumerate(sorted(parts, key=lambda r: (r["f"], r["b"])))}
-    if not order:
+    i = F.monotonically_increasing_id()
+    lines = lines.withColumn("i", i).withColumn("b", F.coalesce("b", F.shiftright("i", 33)))
+    parts = lines.groupBy("f", "b").agg(F.min("i").alias("low"), F.count("*").alias("n")).collect()  # a row a split of the input
+    ranks, at = [], first
+    for r in sorted(parts, key=lambda r: (r["f"], r["b"])):
+        ranks.append((r["f"], r["b"], r["low"], at))
+        at += r["n"]
+    if not ranks:
         return lines.select(F.col("i").alias("line_no"), "value")
-    ranks = spark.createDataFrame([(f, b, n) for (f, b), n in order.items()], "f string, b long, n long")
-    return lines.join(F.broadcast(ranks), ["f", "b"]).select((F.col("n") * F.lit(1 << 33) + F.col("i") % F.lit(1 << 33)).alias("line_no"), "value")
+    starts = lines.sparkSession.createDataFrame(ranks, "f string, b long, low long, start long")
+    return lines.join(F.broadcast(starts), ["f", "b"]).select((F.col("start") + F.col("i") - F.col("low")).alias("line_no"), "value")
 
 
 def parse_log(lines: DataFrame, line_no: str = "line_no", value: str = "value") -> DataFrame:
@@ -44,7 +54,7 @@ def parse_rows(log: DataFrame, sid: int, schema: T.StructType, sep: str = ",", n
     """The inserted rows of a stream, with line_no. Extra columns are dropped, missing ones are null.
 
     null_as_zero: missing and empty numbers become 0, as replays of inputs without nulls need.
-    widths: texts longer than so many characters are cut.
+    widths: texts of more than so many bytes are cut to as many, less a character that the cut goes through.
     """
     text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     own = log.filter((F.col("kind") == "insert") & (F.col("sid") == sid))
@@ -54,13 +64,21 @@ def parse_rows(log: DataFrame, sid: int, schema: T.StructType, sep: str = ",", n
         c = F.col(f"r.`{f.name}`")
         if null_as_zero and not isinstance(f.dataType, (T.StringType, T.DateType)):
             c = F.coalesce(c, F.lit(0).cast(f.dataType))
-        if widths and f.name in widths:
-            c = F.left(c, F.lit(widths[f.name]))
+        if widths and f.name in widths and isinstance(f.dataType, T.StringType):
+            c = cut_bytes(c, widths[f.name])
         return c.alias(f.name)
 
     return parsed.select("line_no", *map(column, schema.fields))
 
 
+def cut_bytes(c: Column, most: int) -> Column:
+    """A text's longest beginning of at most so many bytes of UTF-8."""
+    head = F.substring(c.cast("binary"), 1, most)
+    # Bytes that begin a character (all but 10xxxxxx) tell where the last one starts; it stays if it is whole, as when the text ends there.
+    whole = F.make_valid_utf8(head.cast("string"))
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.regexp_replace(whole, "\ufffd+$", ""))
+
+
 def read_dat(spark: SparkSession, path: str, schema: T.StructType, time: int = 1) -> DataFrame:
     """A bar-delimited table, with a constant time before its columns; further columns of the file are not read."""
     fields = [f for f in schema.fields if f.name != "time"]
