@@ -9,7 +9,6 @@ import pytest
 import __spark_entry__
 from tests.compare import database, differences
 from tributary import queries
-from tributary.operators.sampling import bernoulli_numbers
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the generated tables are not here")
@@ -34,19 +33,15 @@ def test_counts_plan_no_python(spark):
 
 
 def test_bottom_k_draws_any_line(spark):
-    drawn = queries.queries()["bottomk_swor_whole_qx"](spark, SF).collect()
+    drawn = queries.queries()["bottomk_swor_qx"](spark, SF).collect()
     lines = {r[c].split("|")[1] for r in drawn for c in ("lr_rid", "la_rid")}
     assert len(drawn) == 100 and lines > {"1", "2", "3"}
 
 
-def test_bernoulli_draws_from_the_whole_join(spark):
-    """The sample is the results of its numbers, by the join made in full, and has rows that bernoulli_qy's filters drop."""
-    con, spec = database(SF), queries.qy(spark, SF).set_bernoulli_sampling(0.05, seed=queries.SEED).spec
-    size = con.execute(queries.COUNT + queries.QY_FROM).fetchone()[0]
-    numbers = [int(r["_j"]) for r in bernoulli_numbers(spark, spec.sampling, size).collect()]
-    assert len(set(numbers)) == len(numbers) and abs(len(numbers) - 0.05 * size) < 5 * (0.05 * 0.95 * size) ** 0.5
-    want = con.execute(f"WITH {queries.QY_ALL} SELECT l_rid, c2_rid, o_rid, c1_rid FROM a WHERE j IN (SELECT unnest(?))", [numbers]).fetchall()
-    got = [tuple(r) for r in __spark_entry__.queries()["bernoulli_whole_qy"](spark, SF).select("l_rid", "c2_rid", "o_rid", "c1_rid").collect()]
-    assert sorted(got) == sorted(want)
-    some = {r[0] for r in con.execute(f"SELECT l_rid FROM (SELECT {queries.QY_RIDS} FROM {queries.QY_FROM} {queries.SOME}) t").fetchall()}
-    assert {r[0] for r in got} - some
+def test_reports_make_no_results(spark, monkeypatch):
+    """Neither deletes nor windows make reports enumerate the join."""
+    from tributary.operators import enumerate as enumeration
+
+    monkeypatch.setattr(enumeration, "results", None)
+    for name in ("report_rows", "report_rows_deletes", "report_rows_sliding"):
+        assert queries.queries()[name](spark, SF).count() == 4
