@@ -43,7 +43,7 @@ def test_fixity_finds_the_damage(spark, monkeypatch):
     assert len(files) > 20 and all(len(d) > 0 for d in files.values())
     written = Counter(x[4] for d in files.values() for x in fixity.parse_warc(d))
     assert written == Counter(r["html"].encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()) + Counter({copies.first()["r"].split("\r\n\r\n", 1)[1].encode(): 300})
-    assert all(fixity.parse_warc(d)[-1][0] < 20_000 for d in files.values())
+    assert sum("-" in name for name in files) > 10  # the copies are more than an archive
     got = {(r["archive"], r["position"]): r["status"] for r in fixity.audit(
         fixity.fixity_manifest(fixity.read_warc(spark, path)), fixity.fixity_manifest(fixity.read_warc(spark, path, change=queries.damaged))).collect()}
     want = {}

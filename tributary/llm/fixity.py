@@ -30,10 +30,9 @@ import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tributary.llm.common import settle, shared_dir, small_batches
+from tributary.llm.common import discard, hot_map, salted_join, settle, shared_dir, small_batches
 
 FAN_BITS, LEAF_BITS = 4, 16
 #: Bytes of an archive, about: the record that goes beyond is its last.
@@ -53,29 +52,26 @@ def record_text(url: Column, body: Column) -> Column:
 def write_archives(records: DataFrame, size: int = ARCHIVE_BYTES) -> str:
     """Write records (one text column, without END) as WARC files of about `size` bytes; returns the folder, with one file in archive=<name>.
 
-    Records come in the order of their digests: archives are named by bucket and part, buckets being ranges of digests, of about
-    `size` bytes where digests are even. Equal records become one row before the shuffle, with their number, and are
-    spread again where they are written, so a group of copies of any size is dealt over archives like other records.
+    An archive holds a range of digests, in their order; there are as many as the sum of all lengths asks for. Copies of a record
+    that make up more than an archive by themselves are dealt over further ones, <name>-<part>. Texts are shuffled once.
     """
     text, end = records.columns[0], len(END)
-    hashed = records.select(F.col(text).alias("r"), F.sha2(F.col(text).cast("binary"), 256).alias("digest"), (F.octet_length(text) + end).cast("long").alias("len"))
-    total = int(hashed.agg(F.sum("len")).first()[0] or 0)
+    digest = F.sha2(F.col("r").cast("binary"), 256)
+    rows = records.select(F.col(text).alias("r")).withColumn("digest", digest).withColumn("len", (F.octet_length("r") + end).cast("long"))
+    runs = settle(rows.groupBy(F.unhex("digest").alias("d")).agg(F.sum("len").alias("bytes")).filter(F.col("bytes") > size).withColumn("digest", F.lower(F.hex("d"))), "copies")
+    total = int(rows.agg(F.sum("len")).first()[0] or 0)
     bits = next(b for b in range(21) if size << b >= total or b == 20)
-    bucket = F.shiftright(F.conv(F.substring("digest", 1, 5), 16, 10).cast("int"), 20 - bits)
-    runs = hashed.groupBy(bucket.alias("bucket"), "digest").agg(F.first("r").alias("r"), F.first("len").alias("len"), F.count("*").alias("n"))
-    before = W.partitionBy("bucket").orderBy("digest").rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.withColumn("start", F.coalesce(F.sum(F.col("len") * F.col("n")).over(before), F.lit(0)))
-    # A record belongs to the part of its bucket in which it begins; a run of copies may begin in many.
-    div = lambda a, b: F.call_function("div", a, b)
-    parts = runs.withColumn("part", F.explode(F.sequence(div(F.col("start"), F.lit(size)), div(F.col("start") + (F.col("n") - 1) * F.col("len"), F.lit(size)))))
-    first_at = lambda place: F.greatest(F.lit(0).cast("long"), div(place - F.col("start") + F.col("len") - 1, F.col("len")))
-    parts = parts.withColumn("low", first_at(F.col("part") * size)).withColumn("high", F.least(F.col("n"), first_at((F.col("part") + 1) * size)) - 1).filter("low <= high")
-    name = F.concat(F.lpad(F.col("bucket").cast("string"), 7, "0"), F.lit("-"), F.col("part").cast("string"))
-    parts = parts.select(name.alias("archive"), "start", "len", "low", "high", "r")
-    spread = parts.repartition("archive").withColumn("i", F.explode(F.sequence("low", "high")))
-    spread = spread.select("archive", (F.col("start") + F.col("i") * F.col("len")).alias("at"), "r")
+    name = F.lpad(F.shiftright(F.conv(F.substring("digest", 1, 5), 16, 10).cast("int"), 20 - bits).cast("string"), 7, "0")
+    hot = hot_map(runs, "digest")
+    if hot is not None:
+        parts = runs.select("digest", F.ceil(F.col("bytes") / size).alias("parts"))
+        rows = salted_join(rows.withColumn("_row", F.monotonically_increasing_id()), parts, "digest", hot, "_row", "left")
+        part = F.pmod(F.xxhash64("_row"), F.col("parts")) + 1
+        name = F.when(F.col("parts").isNull(), name).otherwise(F.concat(name, F.lit("-"), part.cast("string")))
     path = f"{shared_dir(records.sparkSession).rstrip('/')}/tables/warc-{uuid.uuid4().hex}"
-    spread.sortWithinPartitions("archive", "at").select("archive", "r").write.partitionBy("archive").option("lineSep", END).text(path)
+    dealt = rows.select(name.alias("archive"), "r").repartition("archive").sortWithinPartitions("archive", F.sha2(F.col("r").cast("binary"), 256))
+    dealt.write.partitionBy("archive").option("lineSep", END).text(path)
+    discard(runs)
     return path
 
 

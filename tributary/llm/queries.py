@@ -185,9 +185,9 @@ WITH p AS (SELECT {RECORD_SQL} AS r FROM pages),
 d AS (SELECT r, CAST(strlen(r) AS BIGINT) AS len, sha256(left(r, length(r) - 4)) AS digest FROM p),
 b AS (SELECT min(b) AS bits FROM range(21) x(b), (SELECT sum(len) AS total FROM d) t WHERE CAST({fixity.ARCHIVE_BYTES} AS BIGINT) << b >= total OR b = 20),
 k AS (SELECT r, len, digest, CAST('0x' || substr(digest, 1, 5) AS BIGINT) >> CAST(20 - bits AS BIGINT) AS bucket FROM d, b),
-o AS (SELECT r, len, bucket, CAST(coalesce(sum(len) OVER (PARTITION BY bucket ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM k),
-n AS (SELECT r, len, start, lpad(CAST(bucket AS VARCHAR), 7, '0') || '-' || (start // {fixity.ARCHIVE_BYTES}) AS archive FROM o),
-a AS (SELECT archive, CAST(start - min(start) OVER (PARTITION BY archive) AS BIGINT) AS position, len, r FROM n),
+a AS (
+  SELECT lpad(CAST(bucket AS VARCHAR), 7, '0') AS archive, len, r,
+    CAST(coalesce(sum(len) OVER (PARTITION BY bucket ORDER BY digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position FROM k),
 h AS (
   SELECT *, {HASH_SQL.format("archive || '|' || position")} % 97 AS k, {HASH_SQL.format('archive')} % 3 AS ends,
     row_number() OVER (PARTITION BY archive ORDER BY position DESC) = 1 AS last FROM a),
