@@ -128,8 +128,9 @@ def differing(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """Rows (archive, position, status, length, digest, replica_length, replica_digest) of records that differ.
+    """Rows (archive, position, status, length, digest, copies, replica_length, replica_digest, replica_copies) of records that differ.
 
+    copies: how many records of each side the other lacks there, of which length and digest are of the one with the least digest.
     status: changed (both have a record there, another one), damaged (the replica's bytes there are no record), missing or
     extra in the replica, or conflict where several records claim a position. primary and replica are manifests.
     """
@@ -160,7 +161,7 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     )
     many = (F.coalesce("na", F.lit(0)) > 1) | (F.coalesce("nb", F.lit(0)) > 1)
     status = F.when(many, "conflict").when(F.col("nb").isNull(), "missing").when(~F.col("y.sound"), "damaged").when(F.col("na").isNull(), "extra").otherwise("changed")
-    return per.select("archive", "position", status.alias("status"), F.col("x.length").alias("length"), F.col("x.digest").alias("digest"), F.col("y.length").alias("replica_length"), F.col("y.digest").alias("replica_digest"))
+    return per.select("archive", "position", status.alias("status"), F.col("x.length").alias("length"), F.col("x.digest").alias("digest"), F.coalesce("na", F.lit(0)).alias("copies"), F.col("y.length").alias("replica_length"), F.col("y.digest").alias("replica_digest"), F.coalesce("nb", F.lit(0)).alias("replica_copies"))
 
 
 def inflated(data: bytes, at: int, most: int | None = None) -> tuple[bytes, int] | None:

@@ -194,10 +194,10 @@ h AS (
 g AS (SELECT *, k = 5 AND coalesce(lag(k) OVER (PARTITION BY archive ORDER BY position), -1) <> 5 AS broken FROM h),
 c AS (SELECT *, CASE WHEN k = 3 THEN substr(r, 1, 21) || 'R' || substr(r, 23) WHEN broken THEN 'w' || substr(r, 2) ELSE r END AS other FROM g),
 e AS (SELECT *, CASE WHEN last AND ends = 0 THEN left(other, length(other) - 6) ELSE other END AS replica, broken OR (last AND ends = 0) AS bad FROM c)
-SELECT archive, position, CASE WHEN bad THEN 'damaged' ELSE 'changed' END AS status, len AS length, sha256(r) AS digest,
-  CAST(strlen(replica) AS BIGINT) AS replica_length, sha256(replica) AS replica_digest FROM e WHERE r <> replica
+SELECT archive, position, CASE WHEN bad THEN 'damaged' ELSE 'changed' END AS status, len AS length, sha256(r) AS digest, CAST(1 AS BIGINT) AS copies,
+  CAST(strlen(replica) AS BIGINT) AS replica_length, sha256(replica) AS replica_digest, CAST(1 AS BIGINT) AS replica_copies FROM e WHERE r <> replica
 UNION ALL
-SELECT archive, position + len, 'extra', NULL, NULL, CAST({len(EXTRA)} AS BIGINT), '{hashlib.sha256(EXTRA).hexdigest()}' FROM e WHERE last AND ends = 1
+SELECT archive, position + len, 'extra', NULL, NULL, 0, CAST({len(EXTRA)} AS BIGINT), '{hashlib.sha256(EXTRA).hexdigest()}', 1 FROM e WHERE last AND ends = 1
 """
 
 OP10_SQL = f"""
