@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tributary.plans.spec import QueryError, Stream
+from tributary.plans.spec import QueryError, Stream, estimated_bytes
 
 #: Rows of a range or bucket that one task orders, about; their number grows with the table.
 EACH = 1 << 14
@@ -74,11 +74,6 @@ def hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("string")), 1, 15), 16, 10).cast("long")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """A table's size as the planner estimates it, without a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def bucket_bits(df: DataFrame, row_bytes: int = 64) -> int:
     """So many first bits of a hash that a bucket has at most about EACH rows of a table, by the planner's estimate of its size, 16 at least.
 

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from tributary.operators.bandjoin import band_sums, bin_of
 from tributary.operators.filters import filtered
-from tributary.operators.tables import estimated_bytes, floor_div, keep, rid
+from tributary.operators.tables import floor_div, keep, rid
 from tributary.plans.planner import Group, Node
-from tributary.plans.spec import Spec
+from tributary.plans.spec import Spec, estimated_bytes
 
 WEIGHT = "decimal(38,0)"
 #: Bytes of a table, by the planner's estimate, up to which sums over it are not worth writing.
@@ -245,9 +245,8 @@ def row_weights(spec: Spec, top: Node) -> DataFrame:
     windowed = [WINDOW] if spec.window.kind == "tumbling" else []
     wanted = edge_columns(top, spec)
     rows = group_rows(spec, top.group, wanted, rids={top.group.root}).withColumn("_w", F.lit(1).cast(WEIGHT))
+    told = messages(spec, top, wanted)
     for i, child in enumerate(top.children):
-        told = message(spec, child, weigh(spec, child, wanted, False), windowed)
-        taken = for_parent(child, rows.select(*key_columns(child, child.parent_stream), *windowed).distinct(), told, windowed)
-        rows = take_message(child, rows, taken, windowed, f"_m{i}")
+        rows = take_message(child, rows, told[id(child)].taken, windowed, f"_m{i}")
         rows = rows.withColumn("_w", (F.col("_w") * F.col(f"_m{i}")).cast(WEIGHT))
     return rows

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
-from tributary.plans.spec import Edge, QueryError, Spec
+from tributary.plans.spec import Edge, QueryError, Spec, estimated_bytes
 
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -117,15 +117,15 @@ def fold(spec: Spec, use_keys: bool = True) -> dict[str, Group]:
 
 
 def plan(spec: Spec, use_keys: bool = True, root: str | None = None) -> Node:
-    """The join tree. Its root is the group of `root`, or else the one that folds most streams, the first of these:
-    that is the largest table as a rule, and it alone is not aggregated before it is joined.
+    """The join tree. Its root is the group of `root`, or else the one that folds most streams, of these the largest by the
+    planner's estimate, of these the first: it alone is not aggregated before it is joined.
     """
     check(spec)
     of = fold(spec, use_keys)
     inner = {id(edge) for g in of.values() for _, _, edge in g.folded}
     edges = [e for e in spec.edges if id(e) not in inner]
     groups = list({id(g): g for g in of.values()}.values())
-    start = of[root] if root else max(groups, key=lambda g: len(g.members))
+    start = of[root] if root else max(groups, key=lambda g: (len(g.members), estimated_bytes(spec.streams[g.root].frame)))
 
     def grow(group: Group, came: Edge | None) -> list[Node]:
         out = []
