@@ -162,28 +162,27 @@ def arrow_type(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
-#: Bits of the map of hot keys, which is part of a plan: a thousand numbers.
-HOT_BITS = 1 << 16
+#: Places of the map of hot keys, which is part of a plan: a byte each.
+HOT_PLACES = 1 << 16
 
 
-def hot_map(keys: DataFrame, key: str) -> list[int] | None:
-    """A bit map of hashed keys, as HOT_BITS / 64 numbers, however many keys there are; None if there are none."""
-    h = F.pmod(F.xxhash64(key), F.lit(HOT_BITS))
-    words = keys.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 AS int)))").alias("mask")).collect()
-    if not words:
-        return None
-    found = {r["word"]: r["mask"] for r in words}
-    return [found.get(i, 0) for i in range(HOT_BITS // 64)]
+def hot_map(keys: DataFrame, key: str) -> bytes | None:
+    """A map of hashed keys, of HOT_PLACES bytes however many keys there are; None if there are none."""
+    found = keys.select(F.pmod(F.xxhash64(key), F.lit(HOT_PLACES)).cast("int").alias("h")).distinct().collect()
+    places = bytearray(HOT_PLACES)
+    for r in found:
+        places[r["h"]] = 1
+    return bytes(places) if found else None
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, hot: list[int], spread: str, how: str = "inner", ways: int = 64) -> DataFrame:
+def salted_join(many: DataFrame, one: DataFrame, key: str, hot: bytes, spread: str, how: str = "inner", ways: int = 64) -> DataFrame:
     """many.join(one, key, how) for a table `one` with a row a key, where some keys have very many rows in `many`.
 
     hot: hot_map() of such keys. Their rows in `many` are dealt over `ways` tasks by the column `spread`, and their rows in
     `one` come as often. Keys that only share a hash with a hot one are dealt alike on both sides, so nothing is lost.
     """
-    h = F.pmod(F.xxhash64(key), F.lit(HOT_BITS))
-    may = F.getbit(F.element_at(F.lit(hot).cast("array<bigint>"), (F.shiftright(h, 6) + 1).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+    place = (F.pmod(F.xxhash64(key), F.lit(HOT_PLACES)) + 1).cast("int")
+    may = F.substring(F.lit(bytearray(hot)), place, F.lit(1)) == F.lit(bytearray(b"\x01"))
     left = many.withColumn("_salt", F.when(may, F.pmod(F.xxhash64(spread, F.lit(1)), F.lit(ways)).cast("int")).otherwise(0))
     right = one.withColumn("_salt", F.explode(F.when(may, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [key, "_salt"], how).drop("_salt")

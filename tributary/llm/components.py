@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from tributary.llm.common import discard, hot_map, salted_join, settle
 
 #: Rows of one key that a task of a join may get; more are dealt over tasks.
-HOT = 1000
+HOT = 20_000
 
 
-def hot_keys(counted: DataFrame, key: str, hot: int | None = None) -> list[int] | None:
+def hot_keys(counted: DataFrame, key: str, hot: int | None = None) -> bytes | None:
     """A map of the keys of a stored table that have more than `hot` rows, by its column c; None if there are none."""
     return hot_map(counted.filter(F.col("c") > (HOT if hot is None else hot)), key)
 
 
-def meet(many: DataFrame, one: DataFrame, key: str, spread: str, hot: list[int] | None, how: str = "inner") -> DataFrame:
+def meet(many: DataFrame, one: DataFrame, key: str, spread: str, hot: bytes | None, how: str = "inner") -> DataFrame:
     """many.join(one, key) for a table `one` with a row a key; rows of hot keys are dealt over tasks by the column `spread`."""
     return many.join(one, key, how) if hot is None else salted_join(many, one, key, hot, spread, how)
 
