@@ -308,3 +308,128 @@ def test_estimates(spark, tables):
     xs = {str(f[0]): f[3] for f in tables[0]}
     assert got["n_seen"] == len(brute(tables))
     assert abs(got["estimated_sum"] - sum(xs[b[0]] for b in brute(tables))) < 1e-6
+
+
+def test_names_tell_rows_apart(spark):
+    """Bars, backslashes, nulls and parts of seconds don't make two rows' names equal; rows that are equal are drawn once each."""
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1, 0, 0, 0)
+    rows = [("a|b", "c", at, 1), ("a", "b|c", at, 1), (None, "x", at, 1), ("\\N", "x", at, 1), ("\\", "N|x", at, 1), ("a", "b", at, 1), ("a", "b", at.replace(microsecond=100_000), 1), ("", "x", at, 1)]
+    t = frame(spark, rows + rows[:1], "a string, b string, t timestamp_ntz, k int")
+    q = JoinQuery().add_stream("t", t, ("a", "b", "t")).add_stream("u", frame(spark, [(1, 1)], "id int, k int"), "id").add_equi_join("t", "k", "u", "k")
+    drawn = q.set_sampling_without_replacement(20).samples({"t": ["b"]}).collect()
+    assert len(drawn) == 9 and len({r["t_rid"] for r in drawn}) == 8 and len({r["draw"] for r in drawn}) == 9
+    assert q.set_sampling_without_replacement(2, deterministic=True).samples().count() == 2
+    assert q.resolve(q.samples(), {"t": ["b"]}).count() == 2
+
+
+def test_windows_of_large_times(spark):
+    """Two times, one nanosecond apart, in different windows of a second."""
+    a, b = frame(spark, [(1, 1_699_999_999_999_999_999, 1)], "id long, ts long, k long"), frame(spark, [(1, 1_700_000_000_000_000_000, 1)], "id long, ts long, k long")
+    q = JoinQuery().add_stream("a", a, "id", ts="ts").add_stream("b", b, "id", ts="ts").add_equi_join("a", "k", "b", "k").set_tumbling_window(10**9)
+    assert q.count_frame().count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 3, 50])
+def test_band_sums(spark, width):
+    from tributary.operators.bandjoin import band_sums
+
+    r = random.Random(width)
+    keys = {(r.randrange(-60, 60), r.randrange(2)) for _ in range(60)}
+    told = {(r.randrange(-60, 60), r.randrange(2)): r.randrange(1, 9) for _ in range(60)}
+    one = frame(spark, list(keys), "k int, w int")
+    two = frame(spark, [(k, w, m) for (k, w), m in told.items()], "t int, w2 int, m long").selectExpr("t", "w2", "CAST(m AS decimal(38,0)) AS _m")
+    got = {(x["k"], x["w"]): int(x["_m"]) for x in band_sums(one, "k", two, "t", width, [("w", "w2")]).collect()}
+    want = {(k, w): sum(m for (t, v), m in told.items() if v == w and abs(t - k) <= width) for k, w in keys}
+    assert got == {k: m for k, m in want.items() if m}
+    plan_text = band_sums(one, "k", two, "t", width)._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan_text  # no pairs of keys
+
+
+def test_repairs_draw_independently(spark):
+    """Two repairs over much the same rows don't draw the same numbers."""
+    t = frame(spark, [(i, 1) for i in range(600)], "id long, k long")
+    q = lambda low: JoinQuery().add_stream("t", t.filter(F.col("id") >= low), "id").set_sampling_with_replacement(20)
+    none = spark.createDataFrame([], "draw long, t_rid string")
+    one, two = ([r["t_rid"] for r in q(low).repaired(none).orderBy("draw").collect()] for low in (100, 101))
+    assert len(one) == len(two) == 20 and sum(a == b or abs(int(a) - int(b)) == 1 for a, b in zip(one, two)) < 5
+
+
+def test_deltas_read_old_tables_by_their_keys(spark):
+    """A batch's term has the new rows at the root, and old tables only pass on rows with their keys."""
+    from tributary.operators import maintain
+    from tributary.operators.weights import total
+
+    old = frame(spark, [(i, i) for i in range(5000)], "id long, k long")
+    q = JoinQuery().add_stream("a", old, "id").add_stream("b", old, "id").add_equi_join("a", "k", "b", "k")
+    (term,) = maintain.terms(q.spec, {"b": frame(spark, [(1, 7), (2, 8)], "id long, k long")})
+    assert term.tree().group.root == "b" and term.size() == 2
+    text = total(term.spec, term.tree(), near=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in text
+
+
+def test_bernoulli_numbers_can_be_repeated(spark):
+    how = SampleSpec("bernoulli", 0.02, 9, True)
+    got = sorted(int(r["_j"]) for r in sampling.bernoulli_numbers(spark, how, 100_000, each=500).collect())
+    blocks = 4
+    want = []
+    for b in range(blocks):
+        at, i = b * 25_000 - 1, 0
+        while (at := at + sampling.fixed_gap(f"9|{b}", i, 0.02)) < (b + 1) * 25_000:
+            want.append(at)
+            i += 1
+    assert got == want and abs(len(got) - 2000) < 220
+
+
+@pytest.mark.parametrize("kind", ["none", "tumbling", "sliding"])
+def test_reports_like_a_replay(spark, kind):
+    """A log of three streams with deletes, or windows with late rows, against a replay line by line."""
+    r = random.Random(5)
+    held, log, rows, want, clock, made, tuples = {0: [], 1: [], 2: []}, [], {0: [], 1: [], 2: []}, [], None, 0, 0
+    size, ts = 12, 0
+    match = lambda a, b, c: a[2] == b[2] and abs(b[3] - c[3]) <= 1
+
+    def live():
+        return sum(match(a, b, c) for a in held[0] for b in held[1] for c in held[2])
+
+    def limit(t):
+        return t + size if kind == "sliding" else (t // size + 1) * size
+
+    for line in range(160):
+        x = r.random()
+        if x < 0.06:
+            log.append((line, "report", None, None))
+            want.append((made, live(), tuples))
+            made = tuples = 0
+        elif x < 0.16 and kind == "none":
+            sid, n = r.randrange(3), r.randrange(1, 6)
+            log.append((line, "delete", sid, n))
+            held[sid] = held[sid][n:]
+            tuples += n
+        else:
+            sid = r.randrange(3)
+            ts += r.randrange(3)
+            row = (line, ts - (r.randrange(25) if r.random() < 0.2 else 0), r.randrange(3), r.randrange(4))
+            log.append((line, "insert", sid, None))
+            rows[sid].append(row)
+            tuples += 1
+            if kind != "none":
+                clock = row[1] if clock is None else max(clock, row[1])
+                held = {s: [o for o in own if limit(o[1]) > clock] for s, own in held.items()}
+                if limit(row[1]) <= clock:
+                    continue
+            before = live()
+            held[sid].append(row)
+            made += live() - before
+    log.append((160, "report", None, None))
+    want.append((made, live(), tuples))
+    q = JoinQuery()
+    frames = {f"s{i}": frame(spark, rows[i], "line_no long, ts long, k long, m long") for i in range(3)}
+    for n, f in frames.items():
+        q.add_stream(n, f, "line_no", ts="ts")
+    q.add_equi_join("s0", "k", "s1", "k").add_band_join("s1", "m", "s2", "m", 1)
+    if kind != "none":
+        getattr(q, f"set_{kind}_window")(size)
+    got = reports.report_rows(q.spec, frame(spark, log, "line_no long, kind string, sid int, n long"), frames, {i: f"s{i}" for i in range(3)}, lambda n: n)
+    assert [(x["n_proc"], x["n_seen"], x["ntup"]) for x in got.orderBy("epoch").collect()] == want

@@ -152,7 +152,7 @@ def unrank_qy(spark, d):
 
 def bernoulli_qy(spark, d):
     """All of QY, by result numbers."""
-    return qy(spark, d).set_bernoulli_sampling(0.001, seed=SEED, deterministic=True).samples().drop("draw")
+    return qy(spark, d).set_bernoulli_sampling(0.0001, seed=SEED, deterministic=True).samples().drop("draw")
 
 
 def swor_qy(spark, d):
@@ -499,7 +499,7 @@ def oracle_sql() -> dict[str, str]:
         "enumerate_qy_filtered": f"SELECT {QY_RIDS} FROM {QY_FROM} {SOME}",
         "enumerate_neighbours": "SELECT CAST(a.c_custkey AS VARCHAR) AS a_rid, CAST(n.n_nationkey AS VARCHAR) AS n_rid, CAST(b.c_custkey AS VARCHAR) AS b_rid FROM customer a JOIN nation n ON a.c_nationkey = n.n_nationkey JOIN customer b ON n.n_nationkey = b.c_nationkey",
         "unrank_qy": f"WITH {QY_ALL} SELECT CAST(i AS BIGINT) AS draw, l_rid, c2_rid, o_rid, c1_rid FROM (SELECT i, {number("'7|' || i")} % n AS j FROM n, range(300) r(i)) d JOIN a USING (j)",
-        "bernoulli_qy": f"WITH {QY_ALL}, {bernoulli_draws(0.001)} SELECT l_rid, c2_rid, o_rid, c1_rid FROM draws JOIN a USING (j)",
+        "bernoulli_qy": f"WITH {QY_ALL}, {bernoulli_draws(0.0001)} SELECT l_rid, c2_rid, o_rid, c1_rid FROM draws JOIN a USING (j)",
         "tumbling_bernoulli_ts": f"WITH {EVENTS}, {lanes_all(IN_TUMBLING)}, {bernoulli_draws(0.001)} SELECT view_rid, click_rid, purchase_rid, result_ts FROM draws JOIN a USING (j)",
         "band_join_wide": f"WITH {EVENTS} {COUNT} ev v JOIN ev c ON c.event_type = 'click' AND abs(v.user_id - c.user_id) <= 5000 WHERE v.event_type = 'view'",
         "repair_swor": repairs_sql("swor"),
