@@ -349,7 +349,7 @@ def altered(r, words, n):
     return words
 
 
-@pytest.mark.parametrize("seed, hot, crowd", [(1, 20_000, 1000), (2, 5, 4)])
+@pytest.mark.parametrize("seed, hot, crowd", [(1, 20_000, 20_000), (2, 5, 4)])
 def test_near_duplicates(spark, seed, hot, crowd, odd_rows, monkeypatch):
     """Copies, chains of copies whose ends differ, a hub of many copies, a shared passage, very short texts."""
     r = random.Random(seed)

@@ -41,7 +41,7 @@ BINS, BAND = 128, 4
 #: Words whose hashes a worker remembers at most, and bytes of such a word.
 REMEMBERED, LONGEST = 200_000, 64
 #: Members of a bucket that are compared with each other, at most.
-CROWD = 1000
+CROWD = 20_000
 #: Bits of a parity sketch, in words of 64.
 SKETCH = 2048
 #: Slots of a walk over bins; the walk of a bin repeats after them, and then the nearest full bin is taken.
