@@ -12,20 +12,16 @@ lie in different components after the stars are looked at again: pairs across co
 their sizes allow the similarity and their parity sketches do. A parity sketch has a bit for each of 2048 classes
 of hashes, set if the set has an odd number of that class; two sketches differ in at most as many bits as the
 sets in elements. So the bound is exact: it drops only pairs that can't be similar. Such pairs are compared within the
-join and not made; pairs within a component are not even compared. This takes a bucket's members times each other,
-so it is done in buckets of up to `crowd` members. Members of larger ones meet by shared shingles instead, of the
-rarest ones of each set: similar sets share one of the first n - ceil(0.75 n) + 1 in any common order, and in
-the order of their frequency few sets share these. That is exact too.
+join and not made; pairs within a component are not even compared.
 
 With 32 bands of 4 bins a pair at 0.75 shares no bucket with probability 5e-6, at 0.8 with 4e-8.
 
 Documents with equal shingle sets become one row before any of this, combined before the shuffle, so a
-group of exact copies of any size costs one row a task. Shingles are compared as 64-bit hashes. Where a table with a row a
-key goes back to rows by key (bucket, set or neighbour), keys with very many rows are dealt over tasks.
+group of exact copies of any size costs one row a task. Shingles are compared as 64-bit hashes.
 
-Defined results: a document without words, or null, has an empty set and links with nothing. A null id takes part like
-others, but is no component's least id: it is kept unless a row with an id is linked with it; without such a row its
-component is null. Repeated rows get equal results. Ids may be of any ordered type.
+Defined results: a document without words, or null, has an empty set and links with nothing. A null id has a null
+component and is kept unless it has a set that a row with an id shares: rows without id are linked by equal sets only.
+Repeated rows get equal results. Ids may be of any ordered type.
 """
 
 from __future__ import annotations
@@ -35,13 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import SPACE_WORDS, arrow_type, batches, columns_of, discard, id_filter, settle, small_batches, split_by, words_of
-from tributary.llm.components import components, hot_keys, meet
+from tributary.llm.components import components
 
 BINS, BAND = 128, 4
 #: Words whose hashes a worker remembers at most, and bytes of such a word.
 REMEMBERED, LONGEST = 200_000, 64
-#: Members of a bucket that are compared with each other, at most.
-CROWD = 20_000
 #: Bits of a parity sketch, in words of 64.
 SKETCH = 2048
 #: Slots of a walk over bins; the walk of a bin repeats after them, and then the nearest full bin is taken.
@@ -58,7 +52,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Hashes of words, remembered up to a bound; long words are not."""
+    """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -131,128 +125,87 @@ def parity(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, text_hash, n, node, bands, odd) of all docs.
+def sketches(docs: DataFrame, words: int, id_col: str, text_col: str, with_sets: bool, by_text: bool = False) -> DataFrame:
+    """Rows (id, n, node, bands, odd) of all docs, or (id, n, node, sh) with the hashes of their shingles.
 
-    text_hash: xxhash64 of the text; node: a 64-bit hash of the set, which names it; bands: the bucket keys; odd: the parity sketch.
+    node: a 64-bit hash of the set, which names it; bands: the bucket keys; odd: the parity sketch; by_text: text_hash too.
     """
     import pyarrow as pa
     import xxhash
 
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    kind, own_type = slim.schema["id"].dataType.simpleString(), arrow_type(slim, "id")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), *([F.xxhash64(text_col).alias("text_hash")] if by_text else []))
+    kind, own_type, slim_columns = slim.schema["id"].dataType.simpleString(), arrow_type(slim, "id"), slim.columns
 
     def run(it):
         hashes, walk = WordHashes(), walks()
-        for rows in batches(columns_of(it, "id", "text", "text_hash"), lambda r: len(r[1] or b"") + 1000, 4 << 20):
-            sets = [shingle_set(words_of(r[1], SPACE_WORDS), hashes, words) for r in rows]
-            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            bands = pa.array([band_keys(signature(s, walk)) if len(s) else None for s in sets], pa.list_(pa.int64()))
-            odd = pa.array([parity(s).tobytes() if len(s) else None for s in sets], pa.binary())
-            columns = [pa.array([r[0] for r in rows], own_type), pa.array([r[2] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(node), bands, odd]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "n", "node", "bands", "odd"])
-
-    return slim.mapInArrow(run, f"id {kind}, text_hash long, n long, node long, bands array<long>, odd binary")
-
-
-def row_hash(id_column: Column, text_hash: Column) -> Column:
-    return F.xxhash64(id_column, text_hash)
-
-
-def full_sets(wanted: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (node, sh), each node once: the hashes of the shingles of wanted sets (node, row_hash), made anew from one document each."""
-    import pyarrow as pa
-    import xxhash
-
-    bits = settle(id_filter(wanted, "row_hash"), "wanted_bits")
-    texts, _ = split_by(docs.select(row_hash(F.col(id_col), F.xxhash64(text_col)).alias("row_hash"), F.col(text_col).cast("binary").alias("text")), "row_hash", bits)
-
-    def run(it):
-        hashes = WordHashes()
-        for rows in batches(columns_of(it, "text"), lambda r: len(r[0] or b"") + 1000, 4 << 20):
-            sets = [shingle_set(words_of(r[0], SPACE_WORDS), hashes, words) for r in rows]
-            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "sh"])
-
-    # Some texts are not asked for, and rows may repeat; only the sets asked for stay, each once, combined before the shuffle.
-    made = texts.select("text").mapInArrow(run, "node long, sh array<long>")
-    return made.groupBy("node").agg(F.first("sh").alias("sh")).join(wanted.select("node"), "node", "left_semi")
+        for rows in batches(columns_of(it, *slim_columns), lambda r: len(r[1] or b"") + 1000, 4 << 20):
+            ids, sets = [r[0] for r in rows], [shingle_set(words_of(r[1], SPACE_WORDS), hashes, words) for r in rows]
+            n = pa.array([len(s) for s in sets], pa.int64())
+            node = pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
+            if with_sets:
+                flat = np.concatenate(sets).view(np.int64)
+                cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, own_type), n, node, pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=["id", "n", "node", "sh"])
+            else:
+                bands = pa.array([band_keys(signature(s, walk)) if len(s) else None for s in sets], pa.list_(pa.int64()))
+                odd = pa.array([parity(s).tobytes() if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, own_type), n, node, bands, odd, *([pa.array([r[2] for r in rows], pa.int64())] if by_text else [])], names=["id", "n", "node", "bands", "odd", *slim_columns[2:]])
+
+    return slim.mapInArrow(run, f"id {kind}, n long, node long, sh array<long>" if with_sets else f"id {kind}, n long, node long, bands array<long>, odd binary" + (", text_hash long" if by_text else ""))
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (a, b) of nodes, those whose full sets are similar."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = settle(wanted.join(nodes.select("node", "row_hash"), "node"), "candidates")
-    sets = settle(full_sets(wanted, docs, words, id_col, text_col), "candidate_sets")
-    one, two = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    """Of pairs (a, b) of nodes, those whose full sets are similar. Shingles are made anew, for one document of each such node."""
+    wanted = settle(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id"), "node"), "candidates")
+    bits = settle(id_filter(wanted, "id"), "candidate_bits")
+    texts, _ = split_by(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", bits)
+    # Some texts are not asked for, and an id may come with several; only the sets asked for stay, each once.
+    sets = settle(sketches(texts, words, "id", "text", True).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "sh"), "candidate_sets")
+    one, two = sets.toDF("a", "na", "sa"), sets.toDF("b", "nb", "sb")
     same = F.size(F.array_intersect("sa", "sb"))
-    links = settle(pairs.join(one, "a").join(two, "b").filter(100 * same >= threshold * (F.size("sa") + F.size("sb") - same)).select("a", "b"), "links")
-    discard(wanted, sets)
+    links = settle(pairs.join(one, "a").join(two, "b").filter(100 * same >= threshold * (F.col("na") + F.col("nb") - same)).select("a", "b"), "links")
+    discard(wanted, bits, sets)
     return links
 
 
-def rare_first(members: DataFrame, docs: DataFrame, threshold: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) of members (node, n, root, row_hash) of different roots that share a shingle of their prefixes, and may be similar."""
-    sets = settle(full_sets(members, docs, words, id_col, text_col).join(members.select("node", "n", "root"), "node"), "crowded_sets")
-    rows = sets.select("node", "n", "root", F.explode("sh").alias("s"))
-    often = settle(rows.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"), "shingles")
-    # A shingle that no other set has stands first in the order, but meets nothing: only its place counts.
-    own = meet(rows, often.withColumnRenamed("c", "f"), "s", "node", hot_keys(often, "s")).groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("order"))
-    least = F.ceil(F.col("n") * threshold / 100)
-    before = F.col("n") - F.size("order")
-    prefix = F.slice("order", F.lit(1), F.greatest(F.lit(0).cast("long"), F.col("n") - least + 1 - before).cast("int"))
-    placed = own.select("node", "n", "root", before.alias("before"), F.posexplode(prefix).alias("at", "o"))
-    placed = settle(placed.select("node", "n", "root", (F.col("before") + F.col("at")).alias("at"), F.col("o.s").alias("s")), "prefixes")
-    one, two = placed.toDF("a", "na", "ra", "pa", "s"), placed.toDF("b", "nb", "rb", "pb", "s2")
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # that two sets share from their first shared shingle on
-    met = one.join(two, (F.col("s") == F.col("s2")) & (F.col("ra") < F.col("rb")) & ((100 + threshold) * most >= threshold * (F.col("na") + F.col("nb"))))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, threshold: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False, crowd: int = CROWD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False) -> DataFrame:
     """Rows (id, n_shingles, component_id, kept), one for each row of docs.
 
     threshold: the least similarity, in hundredths. component_id: the least id of those that links reach.
     by_text: with text_hash, xxhash64 of the text, as rows that share an id may differ in text and so in kept.
     """
-    full = settle(sketches(docs, words, id_col, text_col), "sketches")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
-    grouped = full.filter("n > 0").groupBy("node").agg(first, F.max("n").alias("n"), F.count("*").alias("c"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
-    nodes = settle(grouped.select("node", "n", "c", "bands", "odd", "first.id", row_hash(F.col("first.id"), F.col("first.text_hash")).alias("row_hash")), "sets")
-    own = settle(full.select("id", "n", "text_hash", F.when(F.col("n") > 0, F.col("node")).alias("node"), F.monotonically_increasing_id().alias("_row")), "documents")
+    own_hash = ["text_hash"] if by_text else []
+    full = settle(sketches(docs, words, id_col, text_col, False, by_text), "sketches")
+    grouped = full.filter("n > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    nodes, own = settle(grouped, "sets"), settle(full.select("id", "n", "node", *own_hash), "documents")
     discard(full)
 
     members = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = settle(members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "buckets")
-    full_buckets = hot_keys(shared, "key")
-    placed = settle(meet(members, shared.withColumnRenamed("c", "m"), "key", "node", full_buckets), "placed")
-    met = placed.groupBy("node").agg(F.sum("m").alias("met"))
-    centres = placed.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("x")).select("key", F.col("x.node").alias("centre"), F.col("x.n").alias("n2"))
+    shared = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    placed = settle(members.join(shared, "key"), "placed")
+    crowd = placed.groupBy("node").agg(F.sum("m").alias("met"))
+    crowded = placed.join(crowd, "node")
+    centres = crowded.groupBy("key").agg(F.max(F.struct("met", "node", "n")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("n2"))
     possible = F.least("n", "n2") * 100 >= threshold * F.greatest("n", "n2")
-    stars = meet(placed, centres, "key", "node", full_buckets).filter(F.col("node") != F.col("centre")).filter(possible)
+    stars = placed.join(centres, "key").filter(F.col("node") != F.col("centre")).filter(possible)
     stars = settle(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "stars")
     links = confirmed(stars, nodes, docs, threshold, words, id_col, text_col)
     roots = settle(components(links), "roots")
 
     # What the stars leave: buckets with members of several components.
-    rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = placed.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
-    left = meet(rooted, several, "key", "node", full_buckets, "left_semi").join(nodes.select("node", "odd"), "node")
-    left = settle(left.select("key", "node", "n", "m", "root", *words_of_sketch("odd")), "left")
-    one = left.filter(F.col("m") <= crowd).drop("m").withColumnsRenamed({"node": "a", "root": "ra"})
-    two = one.toDF("key2", "b", "n2", "rb", *[f"{c}_2" for c in SKETCH_COLUMNS])
+    left = rooted.join(several, "key", "left_semi").join(nodes.select("node", "odd"), "node")
+    left = settle(left.select("key", "node", "n", "root", *words_of_sketch("odd")), "left")
+    one = left.withColumnsRenamed({"node": "a", "root": "ra"})
+    two = left.toDF("key2", "b", "n2", "rb", *[f"{c}_2" for c in SKETCH_COLUMNS])
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_2"))) for c in SKETCH_COLUMNS[1:]), F.bit_count(F.col(SKETCH_COLUMNS[0]).bitwiseXOR(F.col(f"{SKETCH_COLUMNS[0]}_2"))))
     # Of sets with n and n2 elements that are similar enough, at most this share differs.
     near = (100 + threshold) * apart <= (100 - threshold) * (F.col("n") + F.col("n2"))
-    across = one.join(two, (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & possible & near)
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crowded = left.filter(F.col("m") > crowd).select("node", "n", "root")
-    if crowded.limit(1).count():
-        crowded = settle(crowded.distinct().join(nodes.select("node", "row_hash"), "node"), "crowded")
-        across = across.unionByName(rare_first(crowded, docs, threshold, words, id_col, text_col)).distinct()
-    tried = settle(across.join(stars, ["a", "b"], "left_anti"), "across")
+    met = one.join(two, (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & possible & near)
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = settle(met.join(stars, ["a", "b"], "left_anti"), "across")
     if tried.limit(1).count():
         more = confirmed(tried, nodes, docs, threshold, words, id_col, text_col)
         if more.limit(1).count():
@@ -260,11 +213,11 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, words: int = 5, id_col
 
     discard(placed, stars, left, tried)
     rooted = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = settle(rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("c")), "least")
-    known = meet(rooted, least.drop("c"), "root", "node", hot_keys(least, "root")).select("node", "component_id")
-    out = meet(own, known, "node", "_row", hot_keys(nodes, "node"), "left")
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    known = rooted.join(least, "root").select("node", "component_id")
+    out = own.select("id", "n", *own_hash, F.when(F.col("n") > 0, F.col("node")).alias("node")).join(known, "node", "left")
     whole = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), whole.alias("component_id"), whole.eqNullSafe(F.col("id")).alias("kept"), *(["text_hash"] if by_text else []))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), whole.alias("component_id"), whole.eqNullSafe(F.col("id")).alias("kept"), *own_hash)
 
 
 SKETCH_COLUMNS = [f"w{i}" for i in range(SKETCH // 64)]
