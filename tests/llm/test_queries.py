@@ -120,3 +120,23 @@ def test_fixity_finds_the_damage(spark, monkeypatch):
         if len(bad) > len(data):
             want[name, len(data)] = "extra"
     assert got == want and {"damaged", "extra"} <= set(want.values())
+
+
+def test_archives_leave_no_shuffled_texts(spark):
+    """Records are written in passes, whose shuffled texts go when a pass ends: not one of 8 MB is left beside the archives."""
+    from tributary.llm import fixity
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.length()) if files.apply(i).getName().startswith("shuffle_"))
+
+    rows = spark.range(8000).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.sha2(F.concat("id", i.cast("string")), 256)), "").alias("r"))
+    before = shuffled()
+    path = fixity.write_archives(rows, 1 << 20)
+    assert shuffled() - before < 1 << 20
+    files = list(Path(path).glob("archive=*/part-*"))
+    assert len(files) == len({f.parent for f in files}) == 8  # each archive is one file, of one pass
+    assert sum(f.stat().st_size for f in files) == 8000 * (16 * 64 + len(fixity.END))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None

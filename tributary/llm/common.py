@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import logging
 import shutil
 import tempfile
@@ -90,6 +91,21 @@ def settle(df: DataFrame, name: str, compression: str = "uncompressed") -> DataF
     return out
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What a query run herein has shuffled is deleted as it ends, not when the driver next collects its garbage.
+
+    For writes only: a plan that is run a second time would have to shuffle again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def batches(rows: Iterator, size_of, limit: int) -> Iterator[list]:
     """Lists of consecutive rows whose sizes sum to limit or just above; none is empty."""
     held, total = [], 0

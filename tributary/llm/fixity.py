@@ -32,11 +32,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.common import discard, hot_map, salted_join, settle, shared_dir, small_batches
+from tributary.llm.common import discard, hot_map, salted_join, settle, shared_dir, shuffles_freed, small_batches
 
 FAN_BITS, LEAF_BITS = 4, 16
 #: Bytes of an archive, about: the record that goes beyond is its last.
 ARCHIVE_BYTES = 16 << 20
+#: Archives are written in so many passes over the records: beside what is written lies only a pass's share of texts, shuffled.
+PASSES = 4
 #: What ends a record.
 END = "\r\n\r\n"
 
@@ -53,7 +55,8 @@ def write_archives(records: DataFrame, size: int = ARCHIVE_BYTES) -> str:
     """Write records (one text column, without END) as WARC files of about `size` bytes; returns the folder, with one file in archive=<name>.
 
     An archive holds a range of digests, in their order; there are as many as the sum of all lengths asks for. Copies of a record
-    that make up more than an archive by themselves are dealt over further ones, <name>-<part>. Texts are shuffled once.
+    that make up more than an archive by themselves are dealt over further ones, <name>-<part>. Texts are shuffled once, a share of them
+    in each of PASSES.
     """
     text, end = records.columns[0], len(END)
     digest = F.sha2(F.col("r").cast("binary"), 256)
@@ -61,16 +64,22 @@ def write_archives(records: DataFrame, size: int = ARCHIVE_BYTES) -> str:
     runs = settle(rows.groupBy(F.unhex("digest").alias("d")).agg(F.sum("len").alias("bytes")).filter(F.col("bytes") > size).withColumn("digest", F.lower(F.hex("d"))), "copies")
     total = int(rows.agg(F.sum("len")).first()[0] or 0)
     bits = next(b for b in range(21) if size << b >= total or b == 20)
-    name = F.lpad(F.shiftright(F.conv(F.substring("digest", 1, 5), 16, 10).cast("int"), 20 - bits).cast("string"), 7, "0")
+    bucket = F.shiftright(F.conv(F.substring("digest", 1, 5), 16, 10).cast("int"), 20 - bits)
+    name = F.lpad(bucket.cast("string"), 7, "0")
     hot = hot_map(runs, "digest")
     if hot is not None:
         parts = runs.select("digest", F.ceil(F.col("bytes") / size).alias("parts"))
         rows = salted_join(rows.withColumn("_row", F.monotonically_increasing_id()), parts, "digest", hot, "_row", "left")
         part = F.pmod(F.xxhash64("_row"), F.col("parts")) + 1
         name = F.when(F.col("parts").isNull(), name).otherwise(F.concat(name, F.lit("-"), part.cast("string")))
-    path = f"{shared_dir(records.sparkSession).rstrip('/')}/tables/warc-{uuid.uuid4().hex}"
-    dealt = rows.select(name.alias("archive"), "r").repartition("archive").sortWithinPartitions("archive", F.sha2(F.col("r").cast("binary"), 256))
-    dealt.write.partitionBy("archive").option("lineSep", END).text(path)
+    spark = records.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tables/warc-{uuid.uuid4().hex}"
+    passes = min(PASSES, 1 << bits)
+    for k in range(passes):  # by the range of digests, so all copies of a record are in one pass, however they are dealt
+        own = rows.filter(bucket % passes == k).select(name.alias("archive"), "r")
+        dealt = own.repartition("archive").sortWithinPartitions("archive", F.sha2(F.col("r").cast("binary"), 256))
+        with shuffles_freed(spark):
+            dealt.write.mode("append").partitionBy("archive").option("lineSep", END).text(path)
     discard(runs)
     return path
 
