@@ -433,3 +433,36 @@ def test_reports_like_a_replay(spark, kind):
         getattr(q, f"set_{kind}_window")(size)
     got = reports.report_rows(q.spec, frame(spark, log, "line_no long, kind string, sid int, n long"), frames, {i: f"s{i}" for i in range(3)}, lambda n: n)
     assert [(x["n_proc"], x["n_seen"], x["ntup"]) for x in got.orderBy("epoch").collect()] == want
+
+
+@pytest.mark.parametrize("kind", ["long", "decimal(38,0)"])
+def test_many_draws_meet_their_rows_alone(spark, monkeypatch, kind):
+    """Very many draws go to rows by bins of numbers, not by all of a key; the same rows as those looked up one by one."""
+    from tributary.operators import unrank
+
+    r = random.Random(11)
+    q = JoinQuery().add_stream("f", frame(spark, [(i, r.randrange(3), r.choice([0, 0, 0, 1])) for i in range(30)], "id long, a long, b long"), "id")
+    q.add_stream("s", frame(spark, [(i, r.randrange(4), r.choice([0, 1, 1, 1, 2])) for i in range(24)], "id long, a long, y long"), "id")
+    q.add_stream("t", frame(spark, [(i, r.choice([0, 1, 1, 1, 1, 5])) for i in range(12)], "id long, y long"), "id")
+    q.add_stream("u", frame(spark, [(i, i % 2) for i in range(9)], "id long, b long"), "id")
+    q.add_equi_join("f", "a", "s", "a").add_equi_join("s", "y", "t", "y").add_equi_join("f", "b", "u", "b").set_bernoulli_sampling(0.5, seed=4, deterministic=True)
+    few = q.samples({"s": ["y"], "u": ["b"]})
+    monkeypatch.setattr(unrank, "MANY", 0)
+    monkeypatch.setattr(unrank, "number_type", lambda p: kind)
+    many = q.samples({"s": ["y"], "u": ["b"]})
+    assert many.columns == few.columns
+    got, want = Counter(many.collect()), Counter(few.collect())
+    assert got == want and abs(sum(got.values()) - q.num_seen() / 2) < 4 * q.num_seen() ** 0.5 / 2
+    joins = [x for x in many._jdf.queryExecution().executedPlan().toString().split("\n") if "MergeJoin" in x]
+    assert any("_bin" in x for x in joins) and not any("_j" in x and "_bin" not in x for x in joins)
+
+
+def test_bernoulli_samples_of_large_joins_take_bins(spark):
+    """Of 4 million results of one key 80,000 are drawn: no join meets each draw with all rows of the key."""
+    rows = spark.range(2000).select("id", (F.col("id") * 0).alias("k"))
+    q = JoinQuery().add_stream("a", rows, "id").add_stream("b", rows, "id").add_equi_join("a", "k", "b", "k").set_bernoulli_sampling(0.02, seed=5, deterministic=True)
+    sample = q.samples()
+    text = sample._jdf.queryExecution().executedPlan().toString()
+    assert "_bin" in text and not [x for x in text.split("\n") if "Join" in x and "_j" in x and "_bin" not in x]
+    got = sample.collect()
+    assert abs(len(got) - 80_000) < 1200 and len({(r["a_rid"], r["b_rid"]) for r in got}) == len(got)

@@ -50,7 +50,18 @@ def draw_numbers(sampling: SampleSpec, size: int, avoid: set[int] = frozenset())
 
 def fixed_gap(seed: str, i: int, rate: float) -> int:
     """A geometric number, 1 or more, by inversion of a uniform one in (0, 1)."""
-    return 1 + math.floor(math.log((md5_number(seed, i) + 0.5) / 2**60) / math.log(1 - rate))
+    return fixed_gaps(seed, range(i, i + 1), rate)[0]
+
+
+def fixed_gaps(seed: str, numbers: range, rate: float) -> list[int]:
+    """A gap for each number, from MD5 as md5_number() has it."""
+    start, less, log, whole = hashlib.md5(f"{seed}|".encode()), math.log(1 - rate), math.log, int.from_bytes
+    out = []
+    for i in numbers:
+        h = start.copy()
+        h.update(b"%d" % i)
+        out.append(1 + math.floor(log(((whole(h.digest()[:8]) >> 4) + 0.5) / 2**60) / less))
+    return out
 
 
 def bernoulli_numbers(spark: SparkSession, sampling: SampleSpec, size: int, each: int = 50_000) -> DataFrame:
@@ -63,6 +74,7 @@ def bernoulli_numbers(spark: SparkSession, sampling: SampleSpec, size: int, each
     rate, seed, fixed = sampling.amount, sampling.seed, sampling.deterministic
     blocks = max(1, int(size * rate / each))
     step = -(-size // blocks)
+    kind = "long" if size < 1 << 62 else "string"  # larger numbers travel as text
 
     def run(it):
         import pandas as pd
@@ -71,16 +83,16 @@ def bernoulli_numbers(spark: SparkSession, sampling: SampleSpec, size: int, each
             for b in part["id"].tolist():
                 generator, at, end, out, done = np.random.default_rng([seed, b]), b * step - 1, min(size, (b + 1) * step), [], 0
                 while at < end:
-                    gaps = [fixed_gap(f"{seed}|{b}", i, rate) for i in range(done, done + 1024)] if fixed else generator.geometric(rate, 1024).tolist()
+                    gaps = fixed_gaps(f"{seed}|{b}", range(done, done + 1024), rate) if fixed else generator.geometric(rate, 1024).tolist()
                     done += 1024
                     for gap in gaps:
                         at += gap
                         if at >= end:
                             break
                         out.append(at)
-                yield pd.DataFrame({"draw": [b * (1 << 32) + i for i in range(len(out))], "j": [str(j) for j in out]})
+                yield pd.DataFrame({"draw": [b * (1 << 32) + i for i in range(len(out))], "j": out if kind == "long" else list(map(str, out))}, dtype=None if kind == "string" else "int64")
 
-    made = spark.range(0, blocks, 1, min(blocks, 10_000)).mapInPandas(run, "draw long, j string")
+    made = spark.range(0, blocks, 1, min(blocks, 10_000)).mapInPandas(run, f"draw long, j {kind}")
     return made.select("draw", F.col("j").cast("decimal(38,0)").alias("_j"))
 
 

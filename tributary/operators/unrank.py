@@ -7,7 +7,11 @@ A draw goes down the tree: its number is split over the children by their sums,
 rows with the draw's key. Every lookup first uses sums by bucket (the hash's first bits, as many as the table's size
 asks for), and only then rows, of the buckets that draws fall in: other rows leave the table before it is joined with
 anything. So no task orders a whole key, however many rows have it. What a node tells its parent is computed once
-and shared by all steps. Draws are few against rows.
+and shared by all steps.
+
+That is for draws that are few against rows, as each meets all buckets of its key. Of more than MANY draws, as a Bernoulli
+sample may have, each is met with its row alone: rows cover ranges of numbers, ranges are cut at bins of about a row's width, and
+draws and rows are joined by bin. So the work is in proportion to rows and draws, and no key is one task's load.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from tributary.plans.spec import Spec
 SMALL_BITS = 18
 #: Bins that draws and the root's buckets meet in, at most.
 BINS = 1 << 16
+#: From so many draws on, they are joined with rows by bins of numbers, at most ROW_BINS to a key's numbers.
+MANY, ROW_BINS = 1 << 16, 1 << 22
 
 
 @dataclass
@@ -43,11 +49,11 @@ class Prepared:
     size: int
 
 
-def positions(p: Prepared, node: Node, near: DataFrame | None = None, columns: dict[str, list[str]] | None = None) -> DataFrame:
+def positions(p: Prepared, node: Node, near: DataFrame | bool | None = None, columns: dict[str, list[str]] | None = None) -> DataFrame:
     """A node's rows, one by one: keys, _b (bucket), _w and the sums _m0, _m1, ... of its children.
 
-    near: buckets (_b) whose rows are wanted; others leave the table before it is joined with anything. Rows then have _h (the
-    hash of the name) and the names of all members of the group, and their `columns` (by stream).
+    near: buckets (_b) whose rows are wanted; others leave the table before it is joined with anything. True: all. Rows then have
+    _h (the hash of the name) and the names of all members of the group, and their `columns` (by stream).
     """
     spec, root, wanted = p.spec, node.group.root, p.wanted
     s, bits = spec.streams[root], p.bits[root]
@@ -57,8 +63,10 @@ def positions(p: Prepared, node: Node, near: DataFrame | None = None, columns: d
     if near is None:
         rows = group_rows(spec, node.group, wanted, also=(bucket.alias("_b"),))
     else:
-        asked = F.broadcast(near) if bits <= SMALL_BITS else near
-        spec = spec.over({root: s.frame.withColumn("_b", bucket).join(asked, "_b", "left_semi")})
+        placed = s.frame.withColumn("_b", bucket)
+        if near is not True:
+            placed = placed.join(F.broadcast(near) if bits <= SMALL_BITS else near, "_b", "left_semi")
+        spec = spec.over({root: placed})
         wide = {m: wanted[m] | set((columns or {}).get(m, ())) for m in wanted}
         rows = group_rows(spec, node.group, wide, rids=set(node.group.members), also=(F.col("_b"), place.alias("_h")))
     rows = rows.withColumn("_w", F.lit(1).cast(WEIGHT))
@@ -82,7 +90,7 @@ def prepare(spec: Spec, top: Node, near: bool = False) -> Prepared:
     wanted = edge_columns(top, spec)
     bits = {n.group.root: bucket_bits(spec.streams[n.group.root].frame) for n in top.walk()}
     p = Prepared(spec, top, wanted, messages(spec, top, wanted, near), bits, None, 0)
-    p.sums = keep(positions(p, top).groupBy("_b").agg(F.sum("_w").cast(WEIGHT).alias("_w")), "sums")
+    p.sums = keep(positions(p, top).groupBy("_b").agg(F.sum("_w").cast(WEIGHT).alias("_w"), F.count("*").alias("_n")), "sums")
     p.size = int(p.sums.agg(F.sum("_w")).first()[0] or 0)
     return p
 
@@ -151,14 +159,67 @@ def descend(p: Prepared, node: Node, draws: DataFrame, columns: dict[str, list[s
     return out
 
 
-def unrank(p: Prepared, draws: DataFrame, columns: dict[str, list[str]] | None = None) -> DataFrame:
+def resolve(p: Prepared, node: Node, draws: DataFrame, at: str, columns: dict[str, list[str]]) -> DataFrame:
+    """draws with the names and columns of a node and all below it, for very many draws; at: the column of their numbers.
+
+    draws have the parent's key columns. Each node's rows are put beside the draws in turn, so nothing is joined back by draw.
+    """
+    kind = number_type(p)
+    keys = key_columns(node, node.stream) if node.edge else []
+    if keys:
+        draws = draws.withColumns({k: F.col(c) for k, c in zip(keys, key_columns(node, node.parent_stream))})
+    sums, of_keys = p.sums, lambda rows: rows
+    if keys:
+        if node.children:  # rows of keys that no draw has may weigh more than the whole join
+            draws = keep(draws, "found")
+            asked = draws.select(*keys).distinct()
+            of_keys = lambda rows: rows.join(asked, keys, "left_semi")
+        sums = keep(of_keys(positions(p, node)).groupBy(*keys, "_b").agg(F.sum("_w").cast(WEIGHT).alias("_w"), F.count("*").alias("_n")), "sums")
+    found = sums.agg(F.sum("_w").alias("w"), F.sum("_n").alias("n")).first()
+    width = F.lit(str(int(found["w"] or 0) // min(ROW_BINS, found["n"] or 1) + 1)).cast(kind)
+    place = lambda x: ((x - x % width) / width).cast("long") if kind == WEIGHT else F.call_function("div", x, width)
+    before = sums.select(*keys, "_b", running(keys, ["_b"]).cast(kind).alias("_before"))
+    rows = of_keys(positions(p, node, True, columns)).withColumn("_w", F.col("_w").cast(kind))
+    inside = F.coalesce(F.sum("_w").over(W.partitionBy(*keys, "_b").orderBy("_h", cell(node.group.root, "_rid")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast(kind)
+    rows = rows.withColumn("_inside", inside).join(before, [*keys, "_b"])
+    rows = rows.withColumn("_lo", (F.col("_before") + F.col("_inside")).cast(kind)).withColumn("_hi", (F.col("_lo") + F.col("_w")).cast(kind))
+    reach = rows.withColumn("_bin", F.explode(F.sequence(place(F.col("_lo")), place((F.col("_hi") - 1).cast(kind))))).drop("_b", "_h", "_before", "_inside", "_w")
+    # The planner takes draws for a small table, as it can't see how many a generator makes, and would broadcast them.
+    met = draws.withColumn("_bin", place(F.col(at))).hint("merge").join(reach, [*keys, "_bin"]).filter((F.col(at) >= F.col("_lo")) & (F.col(at) < F.col("_hi")))
+    left, digits = (F.col(at) - F.col("_lo")).cast(kind), {}
+    for i, child in reversed(list(enumerate(node.children))):
+        own = F.col(f"_m{i}").cast(kind)
+        digits[f"_at_{child.stream}"] = (left % own).cast(kind)
+        left = ((left - left % own) / own).cast(kind) if kind == WEIGHT else F.call_function("div", left, own)
+    own = [F.col(cell(m, "_rid")).alias(f"{m}_rid") for m in node.group.members] + [F.col(cell(m, c)).alias(f"{m}_{c}") for m in node.group.members for c in columns.get(m, ())]
+    still = list(dict.fromkeys(c for child in node.children for c in key_columns(child, child.parent_stream)))
+    rest = [c for c in draws.columns if c not in (at, *keys, *still)]
+    out = met.select(*rest, *still, *own, *[c.alias(n) for n, c in digits.items()])
+    for child in node.children:
+        out = resolve(p, child, out, f"_at_{child.stream}", columns)
+    return out
+
+
+def number_type(p: Prepared) -> str:
+    """A type that holds the numbers of all results, and what is added to them."""
+    return "long" if p.size < 1 << 61 else WEIGHT
+
+
+def unrank(p: Prepared, draws: DataFrame, columns: dict[str, list[str]] | None = None, expected: int = 0) -> DataFrame:
     """draws: (draw, _j) with 0 <= _j < the size of the join. Rows (draw, <stream>_rid for all streams).
 
-    columns: of a stream, columns of its rows to add as <stream>_<column>.
+    columns: of a stream, columns of its rows to add as <stream>_<column>. expected: how many draws there are, about, if many().
     """
     columns = columns or {}
     if not p.size:
         draws = draws.limit(0)
-    start = draws.select("draw", F.col("_j").cast(WEIGHT).alias("_j"))
-    out = descend(p, p.top, start, columns)
+    if p.size and many(p, expected):
+        out = resolve(p, p.top, draws.select("draw", F.col("_j").cast(number_type(p)).alias("_j")), "_j", columns)
+    else:
+        out = descend(p, p.top, draws.select("draw", F.col("_j").cast(WEIGHT).alias("_j")), columns)
     return out.select("draw", *[f"{s}_rid" for s in p.spec.streams], *[f"{s}_{c}" for s in p.spec.streams for c in columns.get(s, ())])
+
+
+def many(p: Prepared, expected: int) -> bool:
+    """Whether so many draws are better joined with rows than looked up: a band has draws look at its keys one by one either way."""
+    return expected > MANY and not any(node.edge and node.edge.is_band for node in p.top.walk())

@@ -205,10 +205,12 @@ class JoinQuery:
             return q.resolve(sample, {s: c for s, c in own.items() if c}) if columns else sample
         ready = unrank.prepare(q.spec, q.plan())
         if how.kind == "bernoulli":
-            numbers = tables.keep(sampling.bernoulli_numbers(spark, how, ready.size), "numbers") if ready.size else sampling.numbers_frame(spark, [])
-        else:
-            numbers = sampling.numbers_frame(spark, sampling.draw_numbers(how, ready.size))
-        return unrank.unrank(ready, numbers, own)
+            expected = int(ready.size * how.amount)
+            numbers = sampling.bernoulli_numbers(spark, how, ready.size) if ready.size else sampling.numbers_frame(spark, [])
+            if ready.size and not unrank.many(ready, expected):  # several steps read few; many are read once, and not written
+                numbers = tables.keep(numbers, "numbers")
+            return unrank.unrank(ready, numbers, own, expected)
+        return unrank.unrank(ready, sampling.numbers_frame(spark, sampling.draw_numbers(how, ready.size)), own)
 
     def added(self, new: dict[str, DataFrame]) -> int:
         """How many results rows to come would add, by stream; old results are not counted again."""
