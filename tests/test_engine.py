@@ -466,3 +466,40 @@ def test_bernoulli_samples_of_large_joins_take_bins(spark):
     assert "_bin" in text and not [x for x in text.split("\n") if "Join" in x and "_j" in x and "_bin" not in x]
     got = sample.collect()
     assert abs(len(got) - 80_000) < 1200 and len({(r["a_rid"], r["b_rid"]) for r in got}) == len(got)
+
+
+def test_results_of_a_hot_key_are_dealt_over_tasks(spark, monkeypatch):
+    """A key with most pairs is no single task's work; copies, cold keys and nulls come out as a plain join has them."""
+    from tributary.operators import enumerate as enumeration
+
+    for name, value in {"FEW": 0, "PART": 64, "CHUNK": 16}.items():
+        monkeypatch.setattr(enumeration, name, value, raising=False)
+    left = [(i, 0) for i in range(600)] + [(7, 0), (7, 0), (900, 1), (901, None), (902, 5)]
+    right = [(i, 0) for i in range(500)] + [(3, 0)] * 20 + [(800, 1), (801, 1), (802, None), (803, 6)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = JoinQuery("enumerate").add_stream("a", frame(spark, left, "id long, k int"), "id").add_stream("b", frame(spark, right, "id long, k int"), "id").add_equi_join("a", "k", "b", "k")
+        made = q.results().withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert Counter((r["a_rid"], r["b_rid"]) for r in made) == Counter((str(a), str(b)) for (a, x), (b, y) in product(left, right) if x == y and x is not None)
+    assert max(Counter(r["task"] for r in made).values()) < len(made) / 2
+
+
+@pytest.mark.parametrize("window", [0, 50])
+def test_results_of_chains_of_hot_keys(spark, monkeypatch, window):
+    from tributary.operators import enumerate as enumeration
+
+    r = random.Random(8)
+    rows = [[(i, r.randrange(100), r.choice([0, 0, 0, 1, 2, None]), r.choice([0, 0, 4])) for i in range(n)] for n in (60, 50, 40)]
+    q = JoinQuery("enumerate")
+    for i, own in enumerate(rows):
+        q.add_stream(f"s{i}", frame(spark, own, "id long, ts long, k long, m long"), "id", ts="ts")
+    q.add_equi_join("s0", "k", "s1", "k").add_equi_join("s1", "m", "s2", "m")
+    if window:
+        q.set_tumbling_window(window)
+    kept = [x for x in product(*rows) if x[0][2] == x[1][2] is not None and x[1][3] == x[2][3] and (not window or len({y[1] // window for y in x}) == 1)]
+    for name, value in {"FEW": 0, "PART": 8, "TALL": 1, "CHUNK": 4}.items():
+        monkeypatch.setattr(enumeration, name, value, raising=False)
+    got = q.results()
+    assert Counter(map(tuple, got.collect())) == Counter((*[str(y[0]) for y in x], min(y[1] for y in x), max(y[1] for y in x)) for x in kept)
